@@ -1,24 +1,11 @@
-"""Column expressions for messy listing values. All of them run inside the JVM."""
+"""Column forms of the expressions that are applied to single columns."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Texts a CSV reader treats as missing.
-NA_TOKENS = [
-    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
-    "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
-]
-# Texts the cleaning step treats as missing (case-sensitive).
-BLANK_TOKENS = ["", "nan", "None", "null", "NULL"]
-# Texts of flags.
-TRUE_TOKENS = ["true", "1", "yes", "y", "t"]
-FALSE_TOKENS = ["false", "0", "no", "n", "f"]
-
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+from estatelake.functions import sqltext as X
 
 
 def strip(c: Column) -> Column:
@@ -26,58 +13,10 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def squeeze(c: Column) -> Column:
-    """Trim and turn each inner run of white space into one blank."""
-    return F.regexp_replace(strip(c), r"(?U)\s+", " ")
-
-
-def null_if_in(c: Column, tokens: list[str]) -> Column:
-    return F.when(~c.isin(tokens), c)
-
-
 def finite(c: Column) -> Column:
     """NULL for NaN and both infinities; other numbers as double."""
     d = c.cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))), d)
-
-
-def to_number(c: Column, dtype: str) -> Column:
-    """Number in ``c`` as double; NULL where the text is not a plain finite number."""
-    if dtype == "string":
-        text = strip(c)
-        return finite(F.when(text.rlike(_NUMBER), text.try_cast("double")))
-    return finite(c)
-
-
-def to_flag(c: Column, dtype: str) -> Column:
-    """Boolean from flag texts; anything unknown (also the text ``1.0``) is NULL."""
-    if dtype == "boolean":
-        return c
-    text = F.lower(strip(c.cast("string")))
-    return F.when(text.isin(TRUE_TOKENS), True).when(text.isin(FALSE_TOKENS), False)
-
-
-def as_indicator(c: Column, dtype: str) -> Column:
-    """0/1 integer form of a flag, a number or a flag text; missing is 0."""
-    if dtype == "boolean":
-        value = c.cast("int")
-    elif dtype == "string":
-        value = F.lower(strip(c)).isin(TRUE_TOKENS).cast("int")
-    else:
-        value = finite(c).cast("int")
-    return F.coalesce(value, F.lit(0))
-
-
-def to_utc_timestamp(c: Column, dtype: str) -> Column:
-    if dtype == "string":
-        return F.try_to_timestamp(strip(c))
-    return c.cast("timestamp")
-
-
-def first_number(c: Column) -> Column:
-    """First run of digits (with decimals) in a text, as double."""
-    digits = F.regexp_extract(c.cast("string"), r"(\d+(?:\.\d+)?)", 1)
-    return F.when(digits != "", digits.try_cast("double"))
+    return F.when(F.abs(d) < F.lit(float("inf")), d)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -93,32 +32,9 @@ def elapsed_days(later: Column, earlier: Column) -> Column:
     return ((micros - F.pmod(micros, F.lit(day))) / F.lit(day)).cast("bigint")
 
 
-def location_path(parts: list[Column]) -> Column:
-    """Levels joined by `` | ``; blanks and bars at the ends are cut off, empty is NULL."""
-    filled = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
-    joined = F.btrim(F.concat_ws(" | ", *filled), F.lit(" |"))
-    return F.when(joined != "", joined)
-
-
-def joined_labels(parts: list[Column]) -> Column:
-    """Levels joined by `` | `` with ``Unknown`` for missing ones."""
-    filled = [F.coalesce(p.cast("string"), F.lit("Unknown")) for p in parts]
-    return F.concat_ws(" | ", *filled)
-
-
-def label_up_to(c: Column, edges: list[float], labels: list[str]) -> Column:
-    """Bin with intervals closed on the right; the last label has no upper edge."""
-    picked = reduce(
-        lambda acc, el: acc.when(c <= F.lit(el[0]), F.lit(el[1])),
-        list(zip(edges, labels))[1:],
-        F.when(c <= F.lit(edges[0]), F.lit(labels[0])),
-    )
-    return picked.when(c.isNotNull(), F.lit(labels[-1]))
-
-
 def plain_label(c: Column) -> Column:
     """Lower case, ``_`` and ``-`` as blanks, single blanks; empty is NULL."""
-    text = squeeze(F.translate(F.lower(c), "_-", "  "))
+    text = F.regexp_replace(strip(F.translate(F.lower(c), "_-", "  ")), r"(?U)\s+", " ")
     return F.when(text != "", text)
 
 
@@ -132,5 +48,6 @@ def dtype_of(df, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def has_usable_text(c: Column) -> Column:
-    return F.coalesce(strip(c.cast("string")) != "", F.lit(False))
+def number_of(df, name: str) -> Column:
+    """A column as finite double, NULL where it holds no number."""
+    return F.expr(X.number(X.name(name), dtype_of(df, name)))

@@ -20,6 +20,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from estatelake.functions import sqltext as X
 from estatelake.functions.scalars import finite
 
 SCALE = 4096
@@ -163,5 +164,12 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def fold_rows(wide: DataFrame, names: list[str], key: str, value: str, dtype: str = "bigint") -> DataFrame:
     """Turn the columns of a one-row frame into (key, value) rows."""
-    cells = [F.struct(F.lit(n).alias(key), F.col(n).cast(dtype).alias(value)) for n in names]
-    return wide.select(F.inline(F.array(*cells)))
+    cells = ", ".join(f"{X.quoted(n)}, CAST({X.name(n)} AS {dtype})" for n in names)
+    return wide.selectExpr(f"stack({len(names)}, {cells}) AS ({key}, {value})")
+
+
+def stacked(df: DataFrame, columns: list[str], key: str, value: str, dtype: str, keep: list[str] | None = None) -> DataFrame:
+    """One row per (row, column): the kept columns, the column name as ``key`` and its value."""
+    cells = ", ".join(f"{X.quoted(c)}, CAST({X.name(c)} AS {dtype})" for c in columns)
+    kept = [X.name(k) for k in keep or []]
+    return df.selectExpr(*kept, f"stack({len(columns)}, {cells}) AS ({key}, {value})")

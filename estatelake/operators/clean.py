@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelake.functions import scalars as S
+from estatelake.functions import sqltext as X
 from estatelake.operators.dedup import keep_last_by_key
 from estatelake.schema import (
     DATE_COLUMNS,
@@ -30,12 +31,10 @@ FURNISHED = {
 MAX_AGE_DAYS = 3650
 
 
-def _with(df: DataFrame, names: list[str], make: Callable[[str, str], Column]) -> DataFrame:
-    """Replace the present ones of ``names`` in one projection."""
-    present = set(names) & set(df.columns)
-    return df.select(
-        *[make(c, S.dtype_of(df, c)).alias(c) if c in present else F.col(c) for c in df.columns]
-    )
+def _with(df: DataFrame, names: list[str], make: Callable[[str, str], str]) -> DataFrame:
+    """Replace the present ones of ``names`` in one projection; ``make`` gives SQL text."""
+    present = [c for c in names if c in df.columns]
+    return df.withColumns({c: F.expr(make(X.name(c), S.dtype_of(df, c))) for c in present}) if present else df
 
 
 def standardize_column_names(df: DataFrame) -> DataFrame:
@@ -44,56 +43,44 @@ def standardize_column_names(df: DataFrame) -> DataFrame:
 
 def clean_text_columns(df: DataFrame) -> DataFrame:
     texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
-    return _with(df, texts, lambda c, _: S.null_if_in(S.strip(F.col(c)), S.BLANK_TOKENS))
+    return _with(df, texts, lambda x, _: X.stripped_or_null(x, X.BLANK_TOKENS))
 
 
 def normalize_categories(df: DataFrame) -> DataFrame:
-    return _with(df, LABEL_COLUMNS, lambda c, _: S.squeeze(F.col(c).cast("string")))
+    return _with(df, LABEL_COLUMNS, lambda x, _: X.squeeze(f"string({x})"))
 
 
-def valid_number(name: str, value: Column) -> Column:
-    """``value`` where it is possible for the column, else NULL."""
-    if name in ("price_egp", "area_value"):
-        return F.when(value > 0, value)
-    if name == "lat":
-        return F.when(value.between(-90, 90), value)
-    if name == "lon":
-        return F.when(value.between(-180, 180), value)
-    if name == "images_count":
-        return F.when(value >= 0, value)
-    return value
+# What a number must satisfy to be kept.
+_POSSIBLE = {
+    "price_egp": "> 0", "area_value": "> 0", "lat": "BETWEEN -90 AND 90", "lon": "BETWEEN -180 AND 180",
+    "images_count": ">= 0",
+}
 
 
 def clean_numeric_columns(df: DataFrame) -> DataFrame:
-    return _with(df, NUMBER_COLUMNS, lambda c, t: valid_number(c, S.to_number(F.col(c), t)))
+    """Numbers as double, first parsed and then kept where possible for the column."""
+    parsed = _with(df, NUMBER_COLUMNS, X.number)
+    return _with(parsed, list(_POSSIBLE), lambda x, _: f"CASE WHEN {x} {_POSSIBLE[x.strip('`')]} THEN {x} END")
 
 
 def normalize_boolean_columns(df: DataFrame) -> DataFrame:
-    return _with(df, FLAG_COLUMNS, lambda c, t: S.to_flag(F.col(c), t))
+    return _with(df, FLAG_COLUMNS, X.flag)
 
 
 def parse_dates(df: DataFrame) -> DataFrame:
-    return _with(df, DATE_COLUMNS, lambda c, t: S.to_utc_timestamp(F.col(c), t))
+    return _with(df, DATE_COLUMNS, X.utc_timestamp)
 
 
 def extract_room_counts(df: DataFrame) -> DataFrame:
-    return _with(df, ["bedrooms", "bathrooms"], lambda c, _: S.first_number(F.col(c)))
-
-
-def _respell(c: Column, spellings: dict[str, list[str]]) -> Column:
-    text = S.strip(F.lower(c.cast("string")))
-    out = text
-    for target, forms in spellings.items():
-        out = F.when(text.isin(forms), F.lit(target)).otherwise(out)
-    return out
+    return _with(df, ["bedrooms", "bathrooms"], lambda x, _: X.first_number(x))
 
 
 def normalize_area_unit(df: DataFrame) -> DataFrame:
-    return _with(df, ["area_unit"], lambda c, _: _respell(F.col(c), AREA_UNITS))
+    return _with(df, ["area_unit"], lambda x, _: X.respelled(x, AREA_UNITS))
 
 
 def normalize_furnished(df: DataFrame) -> DataFrame:
-    return _with(df, ["furnished"], lambda c, _: _respell(F.col(c), FURNISHED))
+    return _with(df, ["furnished"], lambda x, _: X.respelled(x, FURNISHED))
 
 
 def price_per_sqm(df: DataFrame) -> DataFrame:
@@ -112,24 +99,21 @@ def listing_age_days(df: DataFrame, as_of: Column) -> DataFrame:
 
 
 def location_key(df: DataFrame) -> DataFrame:
-    levels = [F.col(c) for c in LOCATION_COLUMNS if c in df.columns]
-    return df.withColumn("location_key", S.location_path(levels)) if levels else df
+    levels = [X.name(c) for c in LOCATION_COLUMNS if c in df.columns]
+    return df.withColumn("location_key", F.expr(X.location_path(levels))) if levels else df
 
 
 def media_flags(df: DataFrame) -> DataFrame:
     if "images_count" in df.columns:
         df = df.withColumn("has_images", F.coalesce(F.col("images_count") > 0, F.lit(False)))
     if "video_url" in df.columns:
-        df = df.withColumn("has_video", S.has_usable_text(F.col("video_url")))
+        df = df.withColumn("has_video", F.expr(X.has_text("video_url")))
     return df
 
 
 def final_quality_rules(df: DataFrame) -> DataFrame:
-    rules = {
-        "price_per_sqm": lambda c: F.when(c > 0, c),
-        "listing_age_days": lambda c: F.when(c <= MAX_AGE_DAYS, c),
-    }
-    return _with(df, list(rules), lambda c, _: rules[c](F.col(c)))
+    rules = {"price_per_sqm": "> 0", "listing_age_days": f"<= {MAX_AGE_DAYS}"}
+    return _with(df, list(rules), lambda x, _: f"CASE WHEN {x} {rules[x.strip('`')]} THEN {x} END")
 
 
 def drop_sensitive_columns(df: DataFrame) -> DataFrame:
@@ -190,5 +174,5 @@ def select_by_dtype(df: DataFrame, kind: str) -> DataFrame:
 
 def price_prepare(df: DataFrame, column: str = "price_egp") -> DataFrame:
     """Numeric price, rows with a positive one only."""
-    priced = df.withColumn(column, S.to_number(F.col(column), S.dtype_of(df, column)))
+    priced = df.withColumn(column, S.number_of(df, column))
     return priced.where(F.col(column) > 0)

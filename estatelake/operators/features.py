@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estatelake.functions import scalars as S
+from estatelake.functions import sqltext as X
+from estatelake.functions.stats import stacked
 from estatelake.schema import (
     CATEGORICAL_FEATURES,
     LEAKAGE_COLUMNS,
@@ -32,117 +34,110 @@ PAIRS = {
 }
 
 
-def _number(df: DataFrame, name: str) -> Column:
+def _number(df: DataFrame, name: str) -> str:
     if name not in df.columns:
-        return F.lit(None).cast("double")
-    return S.to_number(F.col(name), S.dtype_of(df, name))
+        return "CAST(NULL AS double)"
+    return X.number(X.name(name), S.dtype_of(df, name))
 
 
-def _indicator(df: DataFrame, name: str) -> Column:
-    return S.as_indicator(F.col(name), S.dtype_of(df, name)) if name in df.columns else F.lit(0)
+def _indicator(df: DataFrame, name: str) -> str:
+    return X.indicator(X.name(name), S.dtype_of(df, name)) if name in df.columns else "0"
+
+
+def _add(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({c: F.expr(e) for c, e in columns.items()})
 
 
 def feat_dates(df: DataFrame, as_of: Column) -> DataFrame:
     """Calendar parts of the listing day; without one, of today less the age, else of today."""
-    today = F.date_trunc("day", as_of.cast("timestamp"))
+    df = df.withColumn("_today", F.date_trunc("day", as_of.cast("timestamp")))
     tries = []
     if "listed_date" in df.columns:
-        tries.append(S.to_utc_timestamp(F.col("listed_date"), S.dtype_of(df, "listed_date")))
+        tries.append(X.utc_timestamp("listed_date", S.dtype_of(df, "listed_date")))
     if "listing_age_days" in df.columns:
         age = _number(df, "listing_age_days")
-        tries.append(F.timestamp_seconds(F.unix_micros(today) / F.lit(1e6) - age * 86400))
-    day = F.coalesce(*tries, today)
-    return df.withColumns({
-        "listing_year": F.year(day), "listing_month": F.month(day),
-        "listing_day": F.dayofmonth(day), "listing_dayofweek": F.weekday(day),
-    })
+        tries.append(f"timestamp_micros(bigint(unix_micros(_today) - ({age}) * 86400e6D))")
+    df = df.withColumn("_day", F.expr(f"coalesce({', '.join([*tries, '_today'])})"))
+    return _add(df, {
+        "listing_year": "year(_day)", "listing_month": "month(_day)", "listing_day": "dayofmonth(_day)",
+        "listing_dayofweek": "weekday(_day)",
+    }).drop("_today", "_day")
 
 
 def feat_area(df: DataFrame) -> DataFrame:
     area = _number(df, "area_value")
-    return df.withColumn("log_area", F.when(area.isNotNull(), F.log1p(F.greatest(area, F.lit(0.0)))))
+    return _add(df, {"log_area": f"CASE WHEN ({area}) IS NOT NULL THEN log1p(greatest({area}, 0D)) END"})
 
 
 def feat_rooms(df: DataFrame) -> DataFrame:
     beds, baths, area = (_number(df, c) for c in ("bedrooms", "bathrooms", "area_value"))
-    zero = F.lit(0.0)
-    return df.withColumns({
-        "total_rooms": F.coalesce(beds, zero) + F.coalesce(baths, zero),
-        "bed_bath_ratio": S.ratio(beds, baths),
-        "area_per_bedroom": S.ratio(area, beds),
-        "area_per_bathroom": S.ratio(area, baths),
-        "bathrooms_per_bedroom": S.ratio(baths, beds),
-        "bedrooms_per_100sqm": S.ratio(beds * 100, area),
+    return _add(df, {
+        "total_rooms": f"coalesce({beds}, 0D) + coalesce({baths}, 0D)",
+        "bed_bath_ratio": X.ratio(beds, baths),
+        "area_per_bedroom": X.ratio(area, beds),
+        "area_per_bathroom": X.ratio(area, baths),
+        "bathrooms_per_bedroom": X.ratio(baths, beds),
+        "bedrooms_per_100sqm": X.ratio(f"({beds}) * 100", area),
     })
 
 
 def feat_binary(df: DataFrame) -> DataFrame:
     """0/1 columns from their source columns; a supplied value is replaced, no source gives 0."""
-    def present(name: str) -> Column:
-        return F.col(name).isNotNull().cast("int") if name in df.columns else F.lit(0)
+    def present(name: str) -> str:
+        return f"int({X.name(name)} IS NOT NULL)" if name in df.columns else "0"
 
-    amenities = S.has_usable_text(F.col("amenities")).cast("int") if "amenities" in df.columns else F.lit(0)
-    return df.withColumns({
+    return _add(df, {
         "has_video": present("video_url"), "has_360_view": _indicator(df, "has_view_360"),
-        "has_amenities": amenities, "has_district": present("district"),
-        "has_subdistrict": present("subdistrict"),
+        "has_amenities": f"int({X.has_text('amenities')})" if "amenities" in df.columns else "0",
+        "has_district": present("district"), "has_subdistrict": present("subdistrict"),
     })
 
 
 def feat_location_completeness(df: DataFrame) -> DataFrame:
-    levels = [F.col(c).isNotNull().cast("int") for c in LOCATION_COLUMNS if c in df.columns]
-    return df.withColumn("location_completeness", sum(levels, F.lit(0)))
+    levels = [f"int({c} IS NOT NULL)" for c in LOCATION_COLUMNS if c in df.columns]
+    return _add(df, {"location_completeness": " + ".join(levels or ["0"])})
 
 
 def feat_listing_quality_score(df: DataFrame) -> DataFrame:
     """Sum of eight flags; needs the columns of ``feat_binary``."""
     parts = ["has_images", "has_video", "has_360_view", "has_amenities", "has_district", "has_subdistrict",
              "is_verified", "is_featured"]
-    return df.withColumn("listing_quality_score", sum((_indicator(df, c) for c in parts), F.lit(0)))
+    return _add(df, {"listing_quality_score": " + ".join(_indicator(df, c) for c in parts)})
 
 
 def feat_agent(df: DataFrame) -> DataFrame:
-    languages = F.lit(0)
+    languages = "0"
     if "agent_languages" in df.columns:
-        spoken = F.filter(F.split(F.coalesce(F.col("agent_languages"), F.lit("")), ","), lambda x: S.strip(x) != "")
-        languages = F.size(spoken)
-    return df.withColumns({
+        languages = f"size(filter(split(coalesce(agent_languages, ''), ','), x -> {X.strip('x')} <> ''))"
+    return _add(df, {
         "agent_language_count": languages, "super_agent": _indicator(df, "agent_is_super"),
         "direct_developer": _indicator(df, "is_direct_from_dev"),
     })
 
 
 def feat_size_flags(df: DataFrame) -> DataFrame:
-    def at_least(name: str, bound: float) -> Column:
-        return F.coalesce(_number(df, name) >= bound, F.lit(False)).cast("int")
-
-    return df.withColumns({
-        "is_large_property": at_least("area_value", LARGE_AREA),
-        "is_high_bedroom": at_least("bedrooms", MANY_BEDROOMS),
+    return _add(df, {
+        "is_large_property": f"int(coalesce(({_number(df, 'area_value')}) >= {LARGE_AREA}, false))",
+        "is_high_bedroom": f"int(coalesce(({_number(df, 'bedrooms')}) >= {MANY_BEDROOMS}, false))",
     })
 
 
 def feat_bins(df: DataFrame) -> DataFrame:
     """Size classes closed on the right; ``unknown`` only where the source column is absent."""
-    def binned(name: str, classes: tuple[list, list]) -> Column:
-        if name not in df.columns:
-            return F.lit("unknown")
-        return S.label_up_to(_number(df, name), *classes)
+    def binned(name: str, classes: tuple[list, list]) -> str:
+        return X.label_up_to(f"({_number(df, name)})", *classes) if name in df.columns else "'unknown'"
 
-    return df.withColumns({
+    return _add(df, {
         "area_size_category": binned("area_value", AREA_SIZE), "area_category": binned("area_value", AREA),
         "bedroom_category": binned("bedrooms", BEDROOMS), "bathroom_category": binned("bathrooms", BATHROOMS),
     })
 
 
 def feat_interactions(df: DataFrame) -> DataFrame:
-    out = {}
-    for name, pair in PAIRS.items():
-        known = set(pair) <= set(df.columns)
-        out[name] = S.joined_labels([F.col(c) for c in pair]) if known else F.lit("Unknown")
-    levels = [F.col(c) if c in df.columns else F.lit("Unknown") for c in LOCATION_COLUMNS]
-    out["property_location"] = S.joined_labels(levels)
-    return df.withColumns(out)
+    present = set(df.columns)
+    out = {n: X.joined_labels(pair) if set(pair) <= present else "'Unknown'" for n, pair in PAIRS.items()}
+    out["property_location"] = X.joined_labels([c if c in present else "'Unknown'" for c in LOCATION_COLUMNS])
+    return _add(df, out)
 
 
 def drop_leakage(df: DataFrame) -> DataFrame:
@@ -165,7 +160,7 @@ def ml_dataset(df: DataFrame, as_of: Column, keep: tuple[str, ...] = ()) -> Data
     """
     if "price_egp" not in df.columns:
         raise ValueError("price_egp is required")
-    price = S.to_number(F.col("price_egp"), S.dtype_of(df, "price_egp"))
+    price = S.number_of(df, "price_egp")
     priced = df.withColumns({"_price": price, **{f"_keep_{c}": F.col(c) for c in keep}}).where(F.col("_price") > 0)
     features = build_features(priced, as_of)
     missing = [c for c in NUMERIC_FEATURES + CATEGORICAL_FEATURES if c not in features.columns]
@@ -177,20 +172,18 @@ def ml_dataset(df: DataFrame, as_of: Column, keep: tuple[str, ...] = ()) -> Data
     return features.select(*kept, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES, F.log1p("_price").alias("label"))
 
 
-def _as_double(df: DataFrame, c: str) -> Column:
-    dtype = S.dtype_of(df, c)
+def _as_double(df: DataFrame, c: str) -> str:
+    x, dtype = X.name(c), S.dtype_of(df, c)
     if dtype == "boolean":
-        return F.col(c).cast("int").cast("double")
+        return f"double(int({x}))"
     if dtype == "string":
-        flag = S.to_flag(F.col(c), dtype).cast("int").cast("double")
-        return F.coalesce(S.to_number(F.col(c), dtype), flag)
-    return S.finite(F.col(c))
+        return f"coalesce({X.number(x, dtype)}, double(int({X.flag(x, dtype)})))"
+    return X.finite(x)
 
 
 def numeric_features_as_double(df: DataFrame) -> DataFrame:
     """All numeric features as finite doubles or NULL; one the frame lacks becomes NULL."""
-    lacking = F.lit(None).cast("double")
-    return df.withColumns({c: _as_double(df, c) if c in df.columns else lacking for c in NUMERIC_FEATURES})
+    return _add(df, {c: _as_double(df, c) if c in df.columns else "CAST(NULL AS double)" for c in NUMERIC_FEATURES})
 
 
 def conform_model_input(df: DataFrame, market: str) -> DataFrame:
@@ -206,6 +199,5 @@ def missing_category_token(df: DataFrame, columns: list[str] | None = None, toke
 
 def category_vocabulary(train: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct (column, value) pairs of the training rows."""
-    cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]
-    long = train.select(F.inline(F.array(*cells)))
+    long = stacked(train, columns, "column_name", "value", "string")
     return long.where(F.col("value").isNotNull()).distinct()

@@ -141,6 +141,6 @@ def first_numeric_value(df: DataFrame, candidates: list[str], order_by: list[str
     name = find_column(df, candidates)
     if name is None:
         return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("value"))
-    value = S.to_number(F.col(name), S.dtype_of(df, name))
+    value = S.number_of(df, name)
     rank = F.struct(*order_by, value.alias("_v"))
     return df.agg(F.min_by(value, F.when(value.isNotNull(), rank)).alias("value"))

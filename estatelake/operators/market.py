@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from estatelake.functions.stats import correlations, group_stats
+from estatelake.functions.stats import correlations, group_stats, stacked
 from estatelake.operators.clean import columns_of_type, price_prepare
 from estatelake.operators.filters import market_filter
 from estatelake.schema import CATEGORY_BY_MARKET
@@ -183,8 +183,7 @@ def top_by_metric(df: DataFrame, dimension: str, metric: str, n: int = 15) -> Da
 def property_characteristics(df: DataFrame, columns: tuple[str, ...] = ("area_value", "bedrooms", "bathrooms")) -> DataFrame:
     """count, mean, deviation, extremes and quartiles, one row per column."""
     present = [c for c in columns if c in df.columns]
-    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in present]
-    long = df.select(F.inline(F.array(*cells)))
+    long = stacked(df, present, "feature", "value", "double")
     return group_stats(
         long, ["feature"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75},
         count="count", mean="mean", std="std", low="min", high="max",

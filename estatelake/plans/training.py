@@ -25,8 +25,9 @@ from pyspark.ml.regression import (
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from estatelake.functions import sqltext as X
 from estatelake.functions.scalars import hash_bucket
-from estatelake.functions.stats import group_stats
+from estatelake.functions.stats import group_stats, stacked
 from estatelake.operators.features import missing_category_token, ml_dataset
 from estatelake.operators.market import segment_sizes
 from estatelake.schema import (
@@ -76,8 +77,7 @@ def fill_values(train: DataFrame, numeric: list[str], categorical: list[str]) ->
 
     Columns are folded into (name, value) rows first; equal values combine on the map side.
     """
-    cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in numeric]
-    medians = group_stats(train.select(F.inline(F.array(*cells))), ["column_name"], "v", {"number": 0.5})
+    medians = group_stats(stacked(train, numeric, "column_name", "v", "double"), ["column_name"], "v", {"number": 0.5})
     counts = category_counts(train, categorical).where(F.col("value").isNotNull())
     # most rows first; equal counts take the smallest text
     modes = counts.groupBy("column_name").agg(
@@ -89,8 +89,7 @@ def fill_values(train: DataFrame, numeric: list[str], categorical: list[str]) ->
 
 
 def category_counts(train: DataFrame, categorical: list[str]) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in categorical]
-    long = train.select(F.inline(F.array(*cells)))
+    long = stacked(train, categorical, "column_name", "value", "string")
     return long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -113,23 +112,18 @@ def fit_encoder(train: DataFrame, min_rows: int = MIN_CATEGORY_ROWS) -> Pipeline
     for r in frequent.orderBy("column_name", F.col("rows").desc(), "value").toLocalIterator():
         labels[r["column_name"]].append(r["value"])
 
-    def quoted(text: str) -> str:
-        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
     def number_fill(c: str) -> float:
         median = fills[c]["number"] if c in fills else None
         return 0.0 if median is None else median
 
     numbers = [f"coalesce(double(`{c}`), {number_fill(c)!r}D) AS `n_{c}`" for c in NUMERIC_FEATURES]
     used = [c for c in CATEGORICAL_FEATURES if labels[c]]
-    texts = [f"coalesce(string(`{c}`), {quoted(fills[c]['text'])}) AS `c_{c}`" for c in used]
+    texts = [f"coalesce(string(`{c}`), {X.quoted(fills[c]['text'])}) AS `c_{c}`" for c in used]
     fill = SQLTransformer(statement=f"SELECT *, {', '.join(numbers + texts)} FROM __THIS__")
     stages = [fill]
     current = fill.transform(train)
-    if used:
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            [labels[c] for c in used], [f"c_{c}" for c in used], [f"i_{c}" for c in used], handleInvalid="keep"
-        )
+    for c in used:
+        indexer = StringIndexerModel.from_labels(labels[c], f"c_{c}", f"i_{c}", handleInvalid="keep")
         stages.append(indexer)
         current = indexer.transform(current)
     few = [c for c in used if len(labels[c]) <= ONE_HOT_LIMIT]
@@ -143,8 +137,12 @@ def fit_encoder(train: DataFrame, min_rows: int = MIN_CATEGORY_ROWS) -> Pipeline
             inputCols=[f"i_{c}" for c in many], outputCols=[f"x_{c}" for c in many], labelCol="label",
             targetType="continuous", handleInvalid="keep", smoothing=float(min_rows),
         ).fit(current))
+        # an expression, so that trees see a number and not the category codes it came from
+        plain = [f"x_{c} + 0.0D AS `t_{c}`" for c in many]
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(plain)} FROM __THIS__"))
     stages.append(VectorAssembler(
-        inputCols=[f"n_{c}" for c in NUMERIC_FEATURES] + [f"x_{c}" for c in few + many], outputCol="features"
+        inputCols=[f"n_{c}" for c in NUMERIC_FEATURES] + [f"x_{c}" for c in few] + [f"t_{c}" for c in many],
+        outputCol="features",
     ))
     return PipelineModel(stages=stages)
 

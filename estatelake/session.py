@@ -22,7 +22,7 @@ def local_session(cores: int | str = "*", name: str = "estatelake") -> SparkSess
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.legacy.timeParserPolicy", "CORRECTED")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
