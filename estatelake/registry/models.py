@@ -22,7 +22,9 @@ QUALIFIED = [("sale", "economy"), ("rent", "large")]
 
 
 def rows_of(spark: SparkSession, d: str) -> DataFrame:
-    return T.model_rows(listings(spark, d, *MODEL_SOURCE), as_of())
+    """Training rows. Each sample table is one row group, read by one task: spread it over the cores."""
+    source = listings(spark, d, *MODEL_SOURCE).repartition(spark.sparkContext.defaultParallelism)
+    return T.model_rows(source, as_of())
 
 
 _BUCKET = "CAST('0x' || substr(md5(CAST(listing_id AS VARCHAR)), 1, 8) AS BIGINT) % 100"
