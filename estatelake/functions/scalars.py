@@ -10,7 +10,7 @@ from estatelake.functions import sqltext as X
 
 def strip(c: Column) -> Column:
     """Trim any Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(X.WHITE_SPACE))
 
 
 def finite(c: Column) -> Column:
@@ -34,7 +34,8 @@ def elapsed_days(later: Column, earlier: Column) -> Column:
 
 def plain_label(c: Column) -> Column:
     """Lower case, ``_`` and ``-`` as blanks, single blanks; empty is NULL."""
-    text = F.regexp_replace(strip(F.translate(F.lower(c), "_-", "  ")), r"(?U)\s+", " ")
+    blanks = F.translate(F.lower(c), "_-" + X.WHITE_SPACE, " " * (2 + len(X.WHITE_SPACE)))
+    text = F.regexp_replace(F.trim(blanks), " +", " ")
     return F.when(text != "", text)
 
 

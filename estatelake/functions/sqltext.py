@@ -7,8 +7,6 @@ expression, ``dtype`` the type name of the column.
 
 from __future__ import annotations
 
-import re
-
 # Texts a CSV reader treats as missing.
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -20,7 +18,11 @@ BLANK_TOKENS = ["", "nan", "None", "null", "NULL"]
 TRUE_TOKENS = ["true", "1", "yes", "y", "t"]
 FALSE_TOKENS = ["false", "0", "no", "n", "f"]
 
-_NUMBER = r"r'(?U)^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$'"
+# The white space of Unicode.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def name(column: str) -> str:
@@ -36,19 +38,18 @@ def values(tokens: list[str]) -> str:
 
 
 def strip(x: str) -> str:
-    """Without Unicode white space at both ends."""
-    return rf"regexp_replace({x}, r'(?U)^\s+|\s+$', '')"
+    """Without Unicode white space at both ends. Trimming a set of characters needs no regex."""
+    return f"btrim({x}, {quoted(WHITE_SPACE)})"
 
 
-def squeeze(x: str) -> str:
-    """Stripped, each inner run of white space as one blank."""
-    return rf"regexp_replace({strip(x)}, r'(?U)\s+', ' ')"
+def plain_spaces(x: str) -> str:
+    """Every white space character as a blank."""
+    return f"translate({x}, {quoted(WHITE_SPACE)}, '{' ' * len(WHITE_SPACE)}')"
 
 
-def stripped_or_null(x: str, tokens: list[str]) -> str:
-    """Stripped text, NULL where it equals one of the tokens: one pass over the text."""
-    words = "|".join(re.escape(t) for t in tokens if t)
-    return rf"nullif(regexp_replace({x}, r'(?U)^\s*(?:{words})\s*$|^\s+|\s+$', ''), '')"
+def single_spaces(x: str) -> str:
+    """Each run of blanks as one; texts without such runs skip the regex."""
+    return f"CASE WHEN contains({x}, '  ') THEN regexp_replace({x}, ' +', ' ') ELSE {x} END"
 
 
 def null_if_in(x: str, tokens: list[str]) -> str:
@@ -64,7 +65,8 @@ def number(x: str, dtype: str) -> str:
     """Double; NULL where a text is not a plain finite number."""
     if dtype != "string":
         return finite(x)
-    parsed = f"try_cast(regexp_extract({x}, {_NUMBER}, 1) AS double)"
+    text = strip(x)
+    parsed = f"try_cast(CASE WHEN {text} RLIKE '^[-+.0-9eE]+$' THEN {text} END AS double)"
     return f"nullif(nullif({parsed}, double('infinity')), double('-infinity'))"
 
 
@@ -72,13 +74,8 @@ def flag(x: str, dtype: str) -> str:
     """Boolean from flag texts; anything unknown (also the text ``1.0``) is NULL."""
     if dtype == "boolean":
         return x
-    text = x if dtype == "string" else f"string({x})"
-    return f"CASE WHEN {one_of(text, TRUE_TOKENS)} THEN true WHEN {one_of(text, FALSE_TOKENS)} THEN false END"
-
-
-def one_of(x: str, tokens: list[str]) -> str:
-    """Whether a text is one of the tokens, up to case and outer white space."""
-    return rf"{x} RLIKE r'(?iU)^\s*(?:{'|'.join(tokens)})\s*$'"
+    text = f"lower({strip(x if dtype == 'string' else f'string({x})')})"
+    return f"CASE WHEN {text} IN {values(TRUE_TOKENS)} THEN true WHEN {text} IN {values(FALSE_TOKENS)} THEN false END"
 
 
 def indicator(x: str, dtype: str) -> str:
@@ -86,7 +83,7 @@ def indicator(x: str, dtype: str) -> str:
     if dtype == "boolean":
         value = f"int({x})"
     elif dtype == "string":
-        value = f"int({one_of(x, TRUE_TOKENS)})"
+        value = f"int(lower({strip(x)}) IN {values(TRUE_TOKENS)})"
     else:
         value = f"int({finite(x)})"
     return f"coalesce({value}, 0)"

@@ -15,7 +15,6 @@ Results are exact and equal linear interpolation between closest ranks.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,24 +141,21 @@ def group_stats(
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every ordered column pair, over rows where both are present.
 
-    One aggregation pass; a pair with a constant column gives NULL.
+    One aggregation pass over (pair, x, y) rows, combined on the map side: a few sums per pair
+    are shuffled. A pair with a constant column gives NULL.
     """
-    cols = {c: finite(F.col(c)) for c in columns}
-    base = df.select(*[x.alias(c) for c, x in cols.items()])
-
-    def pair(a: str, b: str) -> Column:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-    pairs = [(c, c) for c in columns] + list(combinations(columns, 2))
-    wide = base.agg(*[pair(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_r{i}").alias("corr")))
-        if a != b:
-            cells.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"_r{i}").alias("corr")))
-    return wide.select(F.inline(F.array(*cells)))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    base = df.select(*[finite(F.col(c)).alias(c) for c in columns])
+    cells = ", ".join(f"{i}, {X.name(a)}, {X.name(b)}" for i, (a, b) in enumerate(pairs))
+    long = base.selectExpr(f"stack({len(pairs)}, {cells}) AS (pair, x, y)").where("x IS NOT NULL AND y IS NOT NULL")
+    measured = long.groupBy("pair").agg(
+        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr")
+    )
+    # one array entry per pair, so that pairs without any common row keep their place
+    by_pair = measured.agg(F.map_from_entries(F.collect_list(F.struct("pair", "corr"))).alias("found"))
+    out = [(a, b, i) for i, (a, b) in enumerate(pairs)] + [(b, a, i) for i, (a, b) in enumerate(pairs) if a != b]
+    rows = ", ".join(f"{X.quoted(a)}, {X.quoted(b)}, found[{i}]" for a, b, i in out)
+    return by_pair.selectExpr(f"stack({len(out)}, {rows}) AS (col_a, col_b, corr)")
 
 
 def fold_rows(wide: DataFrame, names: list[str], key: str, value: str, dtype: str = "bigint") -> DataFrame:

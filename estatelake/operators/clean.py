@@ -43,11 +43,13 @@ def standardize_column_names(df: DataFrame) -> DataFrame:
 
 def clean_text_columns(df: DataFrame) -> DataFrame:
     texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
-    return _with(df, texts, lambda x, _: X.stripped_or_null(x, X.BLANK_TOKENS))
+    stripped = _with(df, texts, lambda x, _: X.strip(x))
+    return _with(stripped, texts, lambda x, _: X.null_if_in(x, X.BLANK_TOKENS))
 
 
 def normalize_categories(df: DataFrame) -> DataFrame:
-    return _with(df, LABEL_COLUMNS, lambda x, _: X.squeeze(f"string({x})"))
+    plain = _with(df, LABEL_COLUMNS, lambda x, _: X.strip(X.plain_spaces(f"string({x})")))
+    return _with(plain, LABEL_COLUMNS, lambda x, _: X.single_spaces(x))
 
 
 # What a number must satisfy to be kept.
