@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from estatelake.functions import sqltext as X
+
 
 def _last_first(df: DataFrame, order_by: list[str] | None) -> list[Column]:
     names = order_by if order_by else [c for c in ("scraped_at", "listed_date") if c in df.columns]
@@ -17,7 +19,7 @@ def _last_first(df: DataFrame, order_by: list[str] | None) -> list[Column]:
     if order_by:
         return ordered
     # rows that tie in time are told apart by content; equal rows are interchangeable
-    return [*ordered, F.xxhash64(*df.columns).desc(), F.to_json(F.struct(*df.columns)).desc()]
+    return [*ordered, F.xxhash64(*df.columns).desc(), F.hash(*df.columns).desc()]
 
 
 def keep_last_by_key(
@@ -31,7 +33,11 @@ def keep_last_by_key(
         return df.dropDuplicates()
     if not keep_null_ids:
         df = df.where(F.col(key).isNotNull())
-    per_key = Window.partitionBy(key).orderBy(*_last_first(df, order_by))
+    same = F.col(key)
+    if df.schema[key].dataType.simpleString() == "string":
+        # texts of the same whole number are the same key
+        same = F.coalesce(same.try_cast("bigint").cast("string"), same)
+    per_key = Window.partitionBy(same).orderBy(*_last_first(df, order_by))
     return df.withColumn("_place", F.row_number().over(per_key)).where(F.col("_place") == 1).drop("_place")
 
 
@@ -60,19 +66,16 @@ def rows_in_duplicate_groups(df: DataFrame, key: str = "listing_id") -> DataFram
 def duplicate_row_count(df: DataFrame, name: str = "duplicate_rows") -> DataFrame:
     """One row: rows that equal an earlier row in every column (NULL equals NULL).
 
-    Only a pair of hashes per row is shuffled to find suspects; whole rows are compared
-    just for those, so hash collisions do not matter and wide unique rows stay where they are.
+    Rows are compared by a 160-bit digest of all values and of which ones are NULL (hash
+    functions skip NULLs). Only digests are shuffled, copies are combined on the map side
+    first; unequal rows with one digest are not to be expected at any table size.
     """
-    columns = df.columns
-    hashes = [F.xxhash64(*columns).alias("_h1"), F.hash(*columns).alias("_h2")]
-    suspects = (
-        df.select(*hashes).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > 1).select("_h1", "_h2")
-    )
-    copies = (
-        df.select(*columns, *hashes).join(suspects, ["_h1", "_h2"], "left_semi")
-        .groupBy("_h1", "_h2", *columns).agg((F.count(F.lit(1)) - 1).alias("_extra"))
-    )
+    nulls = F.expr("concat(" + ", ".join(f"int({X.name(c)} IS NULL)" for c in df.columns) + ")")
+    digest = [
+        F.xxhash64(nulls, *df.columns).alias("_h1"), F.xxhash64(F.lit("second"), nulls, *df.columns).alias("_h2"),
+        F.hash(nulls, *df.columns).alias("_h3"),
+    ]
+    copies = df.select(*digest).groupBy("_h1", "_h2", "_h3").agg((F.count(F.lit(1)) - 1).alias("_extra"))
     return copies.agg(F.coalesce(F.sum("_extra"), F.lit(0)).alias(name))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from estatelake.functions import scalars as S
 from estatelake.functions.stats import group_stats
-from estatelake.schema import LEAKAGE_COLUMNS, OFFERING_BY_MARKET, SEARCH_COLUMNS
+from estatelake.schema import CATEGORY_BY_MARKET, LEAKAGE_COLUMNS, OFFERING_BY_MARKET, SEARCH_COLUMNS
 
 
 def market_filter(df: DataFrame, column: str, value: str, normalize: str = "lower") -> DataFrame:
@@ -54,19 +54,19 @@ def price_per_sqm_listings(df: DataFrame, category: str) -> DataFrame:
     )
 
 
-def p99_trim(df: DataFrame, market: str = "category", share: float = 0.99) -> DataFrame:
-    """Positive (area, price) pairs of each market without the top of areas, then of prices.
+def p99_trim(df: DataFrame, share: float = 0.99) -> DataFrame:
+    """Positive (area, price) pairs of both markets without the top of areas, then of prices.
 
-    The price bound is taken over the rows that passed the area bound. There is one bound per
-    market, so the joins meet as many rows as there are markets.
+    The price bound is taken over the rows that passed the area bound. The bounds are one row
+    for each of the two markets and are broadcast, so no listing is moved to apply them.
     """
-    pairs = df.select(market, "area_value", "price_egp").where(
-        (F.col("area_value") > 0) & (F.col("price_egp") > 0)
+    pairs = df.select("category", "area_value", "price_egp").where(
+        F.col("category").isin(list(CATEGORY_BY_MARKET.values())) & (F.col("area_value") > 0) & (F.col("price_egp") > 0)
     )
 
     def below(rows: DataFrame, column: str) -> DataFrame:
-        bound = group_stats(rows, [market], column, {"_bound": share})
-        return rows.join(bound, market).where(F.col(column) <= F.col("_bound")).drop("_bound")
+        bound = group_stats(rows, ["category"], column, {"_bound": share})
+        return rows.join(F.broadcast(bound), "category").where(F.col(column) <= F.col("_bound")).drop("_bound")
 
     return below(below(pairs, "area_value"), "price_egp")
 

@@ -37,7 +37,7 @@ from estatelake.schema import (
     OFFERING_BY_MARKET,
     QUALIFIED_SEGMENTS,
 )
-from estatelake.session import work_dir
+from estatelake.session import stored
 
 SEED = 42
 MIN_SEGMENT_ROWS = 500
@@ -248,13 +248,6 @@ class ValuationEngine:
         return next(f for f in self.families if f.market == market and f.segment == segment)
 
 
-def _stored(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written once and read back: later passes do not repeat its plan."""
-    path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def model_rows(df: DataFrame, as_of: Column, key: str = "listing_id") -> DataFrame:
     """Training rows of all markets: key, offering type, features, label; missing categories marked."""
     rows = ml_dataset(df.where(F.col("offering_type").isNotNull()), as_of, keep=(key, "offering_type"))
@@ -269,7 +262,7 @@ def train_model_family(
     parts = split_rows(rows, key, train=70, validation=15)
     started = time.time()
     encoder = fit_encoder(parts.where(F.col("split") == "train"))
-    encoded = _stored(encoder.transform(parts).select("split", "label", "features"), "encoded")
+    encoded = stored(encoder.transform(parts).select("split", "label", "features"), "encoded")
     train, validation, test = (encoded.where(F.col("split") == s) for s in ("train", "validation", "test"))
     models: dict[str, object] = {}
     rounds = settings.boost_rounds
@@ -290,7 +283,7 @@ def train_model_family(
     tested = regression_metrics(long_predictions(scored(test), {"ensemble": mean}), "label", "predicted", ["model"]).first()
     if refit:
         encoder = fit_encoder(rows)
-        everything = _stored(encoder.transform(rows).select("label", "features"), "encoded-all")
+        everything = stored(encoder.transform(rows).select("label", "features"), "encoded-all")
         for name in names:
             more = {"rounds": max(rounds, 1)} if name == "boosted" else {}
             models[name] = learner(name, settings, **more).fit(everything)
@@ -322,7 +315,7 @@ def train_valuation_models(
 
     Small fits leave a cluster idle, so several families are submitted at a time.
     """
-    rows = _stored(rows, "model-rows")
+    rows = stored(rows, "model-rows")
     by_offering = {v: k for k, v in OFFERING_BY_MARKET.items()}
     jobs: list[tuple[str, str | None]] = [(m, None) for m in OFFERING_BY_MARKET]
     for r in segment_sizes(rows, min_rows).orderBy("offering_type", "property_type").collect():
@@ -347,7 +340,7 @@ def train_market_models(rows: DataFrame, settings: TreeSettings, key: str = "lis
     for market, name in (("sale", "extra_trees"), ("rent", "random_forest")):
         parts = split_rows(rows.where(F.col("offering_type") == OFFERING_BY_MARKET[market]), key)
         encoder = fit_encoder(parts.where(F.col("split") == "train"))
-        encoded = _stored(encoder.transform(parts).select("split", "label", "features"), "encoded")
+        encoded = stored(encoder.transform(parts).select("split", "label", "features"), "encoded")
         started = time.time()
         model = learner(name, settings, settings.market_trees[market]).fit(encoded.where(F.col("split") == "train"))
         scored = long_predictions(model.transform(encoded.where(F.col("split") == "test")), {name: f"log_{name}"})
@@ -374,7 +367,7 @@ def tune_boosted(rows: DataFrame, settings: TreeSettings, configs: dict[str, dic
     spark, started = rows.sparkSession, time.time()
     parts = split_rows(rows, key, train=70, validation=15)
     encoder = fit_encoder(parts.where(F.col("split") == "train"))
-    encoded = _stored(encoder.transform(parts).select("split", "label", "features"), "encoded")
+    encoded = stored(encoder.transform(parts).select("split", "label", "features"), "encoded")
     train, validation, test = (encoded.where(F.col("split") == s) for s in ("train", "validation", "test"))
     results, fitted = [], {}
     for name, config in configs.items():
@@ -389,7 +382,7 @@ def tune_boosted(rows: DataFrame, settings: TreeSettings, configs: dict[str, dic
         long_predictions(model.transform(test), {winner: "log_boosted"}), "label", "predicted", ["model"]
     ).first()
     final_encoder = fit_encoder(rows)
-    everything = _stored(final_encoder.transform(rows).select("label", "features"), "encoded-all")
+    everything = stored(final_encoder.transform(rows).select("label", "features"), "encoded-all")
     final = learner("boosted", settings, **{**configs[winner], "rounds": max(kept + 1, settings.min_final_rounds)}).fit(everything)
     market = next(m for m, v in OFFERING_BY_MARKET.items() if v == rows.select("offering_type").first()[0])
     metadata = model_metadata(market, None, rows.count(), {r["model"]: r for r in results}, tested.asDict(),
@@ -412,7 +405,7 @@ def benchmark_models(rows: DataFrame, settings: TreeSettings, key: str = "listin
     for market, offering in OFFERING_BY_MARKET.items():
         split = split_rows(rows.where(F.col("offering_type") == offering), key, train=70, validation=10)
         encoder = fit_encoder(split.where(F.col("split") == "train"))
-        encoded = _stored(encoder.transform(split).select("split", "label", "features"), "encoded")
+        encoded = stored(encoder.transform(split).select("split", "label", "features"), "encoded")
         fit_rows, held, test = (encoded.where(F.col("split") == s) for s in ("train", "validation", "test"))
         seconds, scored = {}, test
         for name in names:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from estatelake.functions.stats import group_stats
 from estatelake.operators.dedup import key_statistics
 from estatelake.operators.quality import missing_counts, range_counts
-from estatelake.schema import REQUIRED_COLUMNS
+from estatelake.schema import CATEGORY_BY_MARKET, REQUIRED_COLUMNS
+from estatelake.session import stored
 
 LOCATION = ["city", "town", "district"]
 
@@ -55,13 +56,14 @@ def vw_market_summary(df: DataFrame) -> DataFrame:
 def vw_market_robust_metrics(df: DataFrame) -> DataFrame:
     """Percentiles per category and the mean of prices between the 1st and the 99th percentile.
 
-    The bounds are one row per category; joining them back moves no listing.
+    There are two categories, so the bounds are broadcast and no listing is moved.
     """
+    df = df.where(F.col("category").isin(list(CATEGORY_BY_MARKET.values())))
     marks = {"p01": 0.01, "p10": 0.10, "p25": 0.25, "median_price": 0.50, "p75": 0.75, "p90": 0.90, "p99": 0.99}
     stats = group_stats(df, ["category"], "price_egp", marks, count="listings")
     inside = F.col("price_egp").between(F.col("p01"), F.col("p99"))
     trimmed = (
-        df.select("category", "price_egp").join(stats.select("category", "p01", "p99"), "category").where(inside)
+        df.select("category", "price_egp").join(F.broadcast(stats.select("category", "p01", "p99")), "category").where(inside)
         .groupBy("category").agg(F.avg("price_egp").alias("trimmed_mean"))
     )
     return stats.join(trimmed, "category", "left").select(
@@ -124,14 +126,15 @@ def vw_city_market_profile(df: DataFrame) -> DataFrame:
 def vw_market_opportunity_signals(df: DataFrame, min_group: int = 10) -> DataFrame:
     """Each listing against the median price per square metre of its category, city and type.
 
-    Listings are not shuffled when the group medians are small enough to broadcast; beyond
-    that the join splits large groups (adaptive skew join).
+    The medians are computed and stored first. Their size decides the join: small ones are
+    broadcast and no listing is shuffled, beyond that large groups are split (adaptive skew join).
     """
     keys = ["category", "city", "property_type"]
     usable = df.where(F.col("price_per_sqm").isNotNull())
     medians = group_stats(usable, keys, "price_per_sqm", {"group_median": 0.5}, count="group_listings").where(
         (F.col("group_listings") >= min_group) & (F.col("group_median") > 0)
     )
+    medians = stored(medians, "group-medians")
     discount = (F.col("group_median") - F.col("price_per_sqm")) * 100.0 / F.col("group_median")
     label = (
         F.when(F.col("discount_pct") >= 25, "strong_opportunity").when(F.col("discount_pct") >= 10, "opportunity")

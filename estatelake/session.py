@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL_ROOTS: dict[str, str] = {}
@@ -44,3 +44,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="estatelake-")
         root = _LOCAL_ROOTS[app]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once to the working folder and read back.
+
+    Later passes do not repeat its plan, a lost executor loses nothing, and the planner knows
+    the true size: a small table is broadcast, a large one is not.
+    """
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
