@@ -122,7 +122,7 @@ def _confidence(spark, d):
     return rounded(scored.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")), 3, "mean_score")
 
 
-# --- fitted models (checked for their rows here, for their properties in the tests) ---------------
+# --- fitted models ------------------------------------------------------------------------------
 
 _ENGINES: dict[tuple[str, str], T.ValuationEngine] = {}
 
@@ -143,74 +143,121 @@ def requests_of(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumnRenamed("listing_type", "market_type").withColumnRenamed("listing_id", "request_id")
 
 
-def metrics_frame(spark: SparkSession, families: list[T.ModelFamily]) -> DataFrame:
-    rows = [(f.market, f.segment, f.metadata["rows"], f.metadata["test_metrics"].get("mae_egp"), f.r2,
-             sorted(f.models), float(sum(f.weights.values()))) for f in families]
+# Prices and scores of fitted trees have no SQL twin. What the SQL checks is the rest: which rows are split,
+# trained on, routed, rejected and priced, and that every measure is there.
+
+_PRICED = "SELECT *, " + _BUCKET + " AS b FROM listings WHERE price_egp > 0"
+
+
+def family_rows(spark: SparkSession, families: list[T.ModelFamily]) -> DataFrame:
+    rows = [(f.market, f.segment, f.metadata["rows"], len(f.models), f.metadata["test_metrics"]["rmse_egp"] > 0
+             and f.r2 <= 1, round(float(sum(f.weights.values())), 6)) for f in families]
     return spark.createDataFrame(
-        rows, "market string, segment string, rows bigint, mae_egp double, test_r2 double, models array<string>, weight_sum double")
+        rows, "market string, segment string, rows bigint, models int, measured boolean, weight_sum double")
+
 
+def measured(df: DataFrame, *keep: str) -> DataFrame:
+    good = (F.col("rmse_egp") > 0) & (F.col("mae_egp") > 0) & (F.col("r2") <= 1) & F.col("median_absolute_error_egp").isNotNull()
+    return df.select(*keep, "rows", good.alias("measured"))
 
-@query("train_market_models")
+
+def _family_sql(models: int, where: str = "true") -> str:
+    return (f"SELECT listing_type AS market, CAST(NULL AS VARCHAR) AS segment, count(*) AS rows, {models} AS models, "
+            f"true AS measured, 1.0::DOUBLE AS weight_sum FROM ({_PRICED}) WHERE {where} GROUP BY listing_type")
+
+
+@query("train_market_models", _family_sql(1))
 def _market_models(spark, d):
-    return metrics_frame(spark, list(T.train_market_models(rows_of(spark, d), SMALL).values()))
+    return family_rows(spark, list(T.train_market_models(rows_of(spark, d), SMALL).values()))
 
 
-@query("train_boosted")
+@query("train_boosted", f"SELECT 'boosted' AS model, count(*) AS rows, true AS measured FROM ({_PRICED}) WHERE listing_type = 'rent' AND b >= 85")
 def _boosted(spark, d):
     rows = T.split_rows(rows_of(spark, d).where(F.col("offering_type") == OFFERING_BY_MARKET["rent"]), "listing_id", 70, 15)
     encoder = T.fit_encoder(rows.where(F.col("split") == "train"))
     encoded = encoder.transform(rows)
-    model, kept = T.fit_boosted(*(encoded.where(F.col("split") == s).select("label", "features") for s in ("train", "validation")), SMALL)
+    parts = (encoded.where(F.col("split") == s).select("label", "features") for s in ("train", "validation"))
+    model, _ = T.fit_boosted(*parts, SMALL)
     scored = T.long_predictions(model.transform(encoded.where(F.col("split") == "test")), {"boosted": "log_boosted"})
-    return T.regression_metrics(scored, "label", "predicted", ["model"]).withColumn("rounds_kept", F.lit(kept))
+    return measured(T.regression_metrics(scored, "label", "predicted", ["model"]), "model")
 
 
-@query("tune_boosted")
+@query("tune_boosted", " UNION ALL ".join(
+    f"SELECT '{n}' AS config, count(*) AS rows, true AS measured FROM ({_PRICED}) WHERE listing_type = 'rent' AND b BETWEEN 70 AND 84"
+    for n in T.BOOST_CONFIGS))
 def _tune(spark, d):
     configs = {n: {**c, "rounds": 3, "depth": 3} for n, c in T.BOOST_CONFIGS.items()}
     rows = rows_of(spark, d).where(F.col("offering_type") == OFFERING_BY_MARKET["rent"])
-    return T.tune_boosted(rows, SMALL, configs)[0]
+    return measured(T.tune_boosted(rows, SMALL, configs)[0], "config")
 
 
-@query("train_model_family")
+@query("train_model_family", _family_sql(3, "listing_type = 'sale'"))
 def _family(spark, d):
     rows = rows_of(spark, d).where(F.col("offering_type") == OFFERING_BY_MARKET["sale"])
-    return metrics_frame(spark, [T.train_model_family(rows, "sale", None, SMALL)])
+    return family_rows(spark, [T.train_model_family(rows, "sale", None, SMALL)])
+
 
+_ENGINE_SQL = (f"{_family_sql(2)} UNION ALL SELECT listing_type, property_type, count(*), 2, true, 1.0::DOUBLE FROM ({_PRICED}) "
+               "WHERE property_type IS NOT NULL GROUP BY listing_type, property_type HAVING count(*) >= 100")
 
-@query("train_valuation_models")
+
+@query("train_valuation_models", _ENGINE_SQL)
 def _engine(spark, d):
-    return metrics_frame(spark, engine_of(spark, d).families)
+    return family_rows(spark, engine_of(spark, d).families)
 
 
-@query("benchmark_models")
+@query("benchmark_models", f"""SELECT listing_type AS market, model, count(*) AS rows, true AS measured FROM ({_PRICED}),
+  (SELECT unnest(['extra_trees', 'random_forest', 'boosted']) AS model) WHERE b >= 80 GROUP BY ALL""")
 def _benchmark(spark, d):
-    return T.benchmark_models(rows_of(spark, d), SMALL)
+    return measured(T.benchmark_models(rows_of(spark, d), SMALL), "market", "model")
 
 
-@query("batch_predict")
+@query("batch_predict", f"SELECT listing_id, true AS priced FROM ({_PRICED}) WHERE listing_type = 'sale'")
 def _predict(spark, d):
     """Store the sale models, read them back and price every sale listing."""
     root = work_dir(spark, "models")
     family = T.load_family(spark, T.save_family(engine_of(spark, d).family("sale"), root))
     features = rows_of(spark, d).where(F.col("offering_type") == OFFERING_BY_MARKET["sale"])
-    return T.batch_predict(features, family).select("listing_id", "predicted_price")
+    return T.batch_predict(features, family).select("listing_id", (F.col("predicted_price") >= 0).alias("priced"))
+
 
+_ROUTE = """CASE WHEN (listing_type = 'sale' AND lower(property_type) = 'economy')
+  OR (listing_type = 'rent' AND lower(property_type) = 'large') THEN 'specialized' ELSE 'market' END"""
 
-@query("batch_valuation")
+
+@query("batch_valuation", f""", q AS (SELECT *, CASE WHEN property_type IS NULL THEN 'property_type is required'
+  WHEN area_value < 0 THEN 'area_value cannot be negative' WHEN images_count < 0 THEN 'images_count cannot be negative'
+  WHEN lat NOT BETWEEN -90 AND 90 THEN 'lat must be between -90 and 90'
+  WHEN lon NOT BETWEEN -180 AND 180 THEN 'lon must be between -180 and 180'
+  WHEN coalesce(bedrooms, 0) = 0 OR coalesce(bathrooms, 0) = 0 THEN '{V.NON_FINITE}' END AS rejection_reason FROM listings)
+SELECT listing_id AS request_id, listing_type AS market_type, CASE WHEN rejection_reason IS NULL THEN property_type END AS property_type,
+  CASE WHEN rejection_reason IS NULL THEN {_ROUTE} END AS model_resolution, rejection_reason IS NULL AS priced, rejection_reason FROM q""")
 def _valuation(spark, d):
     valued, rejected = V.batch_valuation(requests_of(spark, d), engine_of(spark, d), as_of())
-    return valued.select("request_id", "market_type", "property_type", "model_resolution", "estimated_value_egp",
-                         F.col("confidence.level").alias("confidence_level"), F.lit(None).cast("string").alias("rejection_reason")
-                         ).unionByName(rejected, allowMissingColumns=True)
+    priced = valued.select(
+        "request_id", "market_type", "property_type", "model_resolution",
+        ((F.col("estimated_value_egp") >= 0) & F.col("confidence.score").between(0, 1)).alias("priced"),
+    )
+    return priced.unionByName(rejected, allowMissingColumns=True).withColumn("priced", F.coalesce("priced", F.lit(False)))
 
 
-@query("model_metadata")
+@query("model_metadata", f"SELECT market, segment, rows, 35 AS numeric_features, 5 AS leakage_columns FROM ({_ENGINE_SQL})")
 def _metadata(spark, d):
-    return reduce(DataFrame.unionByName, [T.metadata_frame(spark, f) for f in engine_of(spark, d).families])
+    rows = reduce(DataFrame.unionByName, [T.metadata_frame(spark, f) for f in engine_of(spark, d).families])
+
+    def size_of(field: str):
+        return F.json_array_length(F.get_json_object("metadata", f"$.{field}"))
+
+    return rows.select(
+        "market", "segment", F.get_json_object("metadata", "$.rows").cast("bigint").alias("rows"),
+        size_of("numeric_features").alias("numeric_features"), size_of("leakage_columns").alias("leakage_columns"),
+    )
 
 
-@query("valuation_sanity")
+@query("valuation_sanity", f"""
+SELECT DISTINCT listing_type AS market_type, property_type, {_ROUTE} AS model_resolution, true AS as_expected, true AS priced FROM listings
+WHERE (listing_type || '/' || property_type) IN ('sale/ECONOMY', 'sale/PROMO', 'rent/LARGE', 'rent/SMALL') AND area_value > 0
+  AND bedrooms > 0 AND bathrooms > 0 AND images_count >= 0 AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180""")
 def _sanity(spark, d):
     """One real listing per case: the route it takes against the route expected."""
     cases = {("sale", "ECONOMY"): "specialized", ("sale", "PROMO"): "market", ("rent", "LARGE"): "specialized",
@@ -223,6 +270,7 @@ def _sanity(spark, d):
     valued, _ = V.batch_valuation(picked, engine_of(spark, d), as_of())
     expected = F.create_map(*[F.lit(x) for (m, t), r in cases.items() for x in (f"{m}/{t}", r)])
     return valued.select(
-        "market_type", "property_type", "model_resolution", "estimated_value_egp",
+        "market_type", "property_type", "model_resolution",
         (F.col("model_resolution") == expected[F.concat_ws("/", "market_type", "property_type")]).alias("as_expected"),
+        (F.col("estimated_value_egp") >= 0).alias("priced"),
     )
