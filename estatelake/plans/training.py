@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -329,8 +329,10 @@ def train_valuation_models(
             mine = mine.where(F.col("property_type") == segment)
         return train_model_family(mine, market, segment, settings, names=names, refit=refit)
 
+    # The job properties of the session are copied by each call below: threads must not share them.
+    tasks = [inheritable_thread_target(rows.sparkSession)(partial(fit, job)) for job in jobs]
     with ThreadPool(min(parallel, len(jobs))) as pool:
-        families = pool.map(inheritable_thread_target(rows.sparkSession)(fit), jobs)
+        families = pool.map(lambda task: task(), tasks)
     return ValuationEngine(families, list(qualified))
 
 
