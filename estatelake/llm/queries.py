@@ -37,3 +37,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estatelake.llm.ngram_join import jaccard_classes
 
     return jaccard_classes(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estatelake.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))

@@ -122,3 +122,13 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
                 yield mix(x)
             else:
                 yield np.zeros(0, U)
+
+
+def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the rows and the n + 1 offsets of the rows in them; malformed bytes become U+FFFD."""
+    data = raw.tobytes()
+    try:
+        return np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32), np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offsets]
+    except UnicodeDecodeError:
+        rows = [data[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
+        return np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32), np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
