@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +45,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estatelake.llm.language_id import identify
 
     return identify(table(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estatelake.llm.secret_scan import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", "n_candidates", "n_secrets", spans.alias("spans"), F.coalesce(F.round(F.array_max(F.transform("secrets", lambda s: s["score"])), 6), F.lit(0.0)).alias("top_score"))
