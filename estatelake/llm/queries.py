@@ -54,3 +54,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select("doc_id", "n_candidates", "n_secrets", spans.alias("spans"), F.coalesce(F.round(F.array_max(F.transform("secrets", lambda s: s["score"])), 6), F.lit(0.0)).alias("top_score"))
+
+
+@query("op3_source_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estatelake.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estatelake.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
