@@ -68,3 +68,29 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estatelake.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
+
+
+def _url_sql() -> str:
+    from estatelake.llm.url_rules import RULES
+
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    return rf"""
+    with rules(rhost, rpath, verdict) as (values {values}),
+    urls as (
+        select page_id,
+            translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+            coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path,
+            row_number() over () as row
+        from pages),
+    fitting as (
+        select row, arg_max(rhost || rpath, length(rhost || rpath)) as rule, arg_max(verdict, length(rhost || rpath)) as verdict
+        from urls join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
+        group by row)
+    select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from urls left join fitting using (row)"""
+
+
+@query("op5_url_rules", _url_sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estatelake.llm.url_rules import judge, rule_table
+
+    return judge(table(spark, sf_dir, "pages"), rule_table(spark))
