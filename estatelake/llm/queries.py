@@ -94,3 +94,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estatelake.llm.url_rules import judge, rule_table
 
     return judge(table(spark, sf_dir, "pages"), rule_table(spark))
+
+
+@query("op4_html_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estatelake.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
