@@ -101,3 +101,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estatelake.llm.html_text import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estatelake.llm.fingerprints import compare_with_next
+
+    return compare_with_next(table(spark, sf_dir, "documents"))
