@@ -108,3 +108,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estatelake.llm.fingerprints import compare_with_next
 
     return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op2_vp_tree_neighbours")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estatelake.llm.vp_tree import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
