@@ -9,8 +9,9 @@ Documents are sets of word shingles; two documents link when ``intersection / un
    then make a matrix row as long as the corpus; a token of a range is shared by near copies only. m and k
    follow from a size class, and a set also takes the tokens of the next class if a partner may lie there.
    Tokens of nearly empty ranges are left out while fewer than m - k of them are (all are kept otherwise).
-3. Classes that share their smallest token form a group; a group of more than ``GROUP`` classes is dealt into
-   parts by a hash. The matrix has a row (token, group) for the union of each group's tokens.
+3. Classes whose most widely shared token is the same form a group; one of more than ``GROUP`` classes or
+   ``GROUP_SHINGLES`` shingles is dealt into parts by a hash. The matrix has a row (token, group) for the union of each
+   group's tokens.
 4. Two groups whose unions overlap less than m - k (less the left-out tokens) hold no pair; the others
    are opened. In an opened pair the same bound on shingles (overlap of a set with the union of the other group)
    thins the sets out before sets are compared exactly.
@@ -26,14 +27,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatelake.llm.components import components
 from estatelake.llm.textkit import U, mix, shingle_sets
 from estatelake.session import stored
 
-GROUP = 64
+GROUP = 256
+GROUP_SHINGLES = 200_000
 #: fewest shingles in a range whose token is worth a matrix row
 LIGHT = 3
 #: ids up to this many are broadcast (8 bytes each); beyond, both sides are shuffled
@@ -85,14 +87,14 @@ def _tokens(s: np.ndarray, plan: _Plan) -> tuple[list[np.ndarray], int]:
     return out, need
 
 
-SIGNED = "doc_id long, n long, h1 long, h2 long, need int, part long, tokens array<long>"
+SIGNED = "doc_id long, n long, h1 long, h2 long, need int, tokens array<long>"
 
 
 def _signed(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = _Plan(num, den)
         for batch in batches:
-            n, h1, h2, need, part, tokens, ends = [], [], [], [], [], [], [0]
+            n, h1, h2, need, tokens, ends = [], [], [], [], [], [0]
             for s in shingle_sets(batch.column(1), size):
                 found, least = _tokens(s, plan)
                 g = mix(s + U(23))
@@ -100,15 +102,14 @@ def _signed(size: int, num: int, den: int):
                 h1.append(int(g.sum()) if len(s) else 0)
                 h2.append(int(mix(g + U(5)).sum()) if len(s) else 0)
                 need.append(least)
-                part.append(int(found[0].min()) if found and len(found[0]) else 0)
                 tokens += found
                 ends.append(ends[-1] + sum(map(len, found)))
             flat = np.concatenate([np.zeros(0, U), *tokens]).view(np.int64)
             signed = lambda x: pa.array(np.array(x, U).view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), signed(h1), signed(h2), pa.array(need, pa.int32()), signed(part),
+                batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), signed(h1), signed(h2), pa.array(need, pa.int32()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-            ], names=["doc_id", "n", "h1", "h2", "need", "part", "tokens"])
+            ], names=["doc_id", "n", "h1", "h2", "need", "tokens"])
 
     return run
 
@@ -152,7 +153,7 @@ def _opened(size: int, num: int, den: int):
             a, b = lengths[i], lengths[others]
             others = others[den * np.minimum(a, b) >= num * np.maximum(a, b)]
             if len(others):
-                inter = np.array([np.count_nonzero(mask[names[at[j]: at[j + 1]]]) for j in others])
+                inter = np.add.reduceat(mask[names], at[:-1], dtype=np.int64)[others] if len(others) > 8 else np.array([np.count_nonzero(mask[names[at[j]: at[j + 1]]]) for j in others])
                 for j in others[den * inter >= num * (a + lengths[others] - inter)]:
                     degree[i] += copies[j]
                     degree[j] += copies[i]
@@ -207,17 +208,18 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     key = ["n", "h1", "h2"]
     classes = stored(signed.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
 
-    one = signed.where("size(tokens) > 0").join(classes, [*key, "doc_id"]).select("doc_id", "copies", "part", "need", "tokens").dropDuplicates(["doc_id", "part"])
-    large = one.groupBy("part").count().where(F.col("count") > GROUP).select("part", F.ceil(F.col("count") / GROUP).alias("parts"))
-    group = F.xxhash64("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(0))
+    one = signed.where("size(tokens) > 0").join(classes, [*key, "doc_id"]).dropDuplicates(["doc_id", *key]).select("doc_id", "n", "copies", "need", "tokens")
     one = stored(one, "classes-with-tokens")
-    grouped = one.join(large, "part", "left").withColumn("grp", group)
-    by_token = grouped.select(F.explode("tokens").alias("token"), "grp", "need").repartition("token").groupBy("token", "grp").agg(F.min("need").alias("need"))
-    matrix = stored(by_token.selectExpr("*", "min(grp) over (partition by token) as low", "max(grp) over (partition by token) as high").where("low != high").select("token", "grp", "need"), "matrix")
+    by_token = one.select(F.explode("tokens").alias("token"), "doc_id", "need").repartition("token")
+    shared = stored(by_token.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1"), "shared-tokens")
+    part = shared.groupBy("doc_id").agg(F.max(F.struct("held", "token"))["token"].alias("part")).join(one.select("doc_id", "n", "copies"), "doc_id")
+    large = part.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts")).where("parts > 1")
+    grp = F.xxhash64("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(0))
+    members = stored(part.join(large, "part", "left").select(grp.alias("grp"), "doc_id", "copies"), "members")
+    matrix = stored(shared.join(members, "doc_id").groupBy("token", "grp").agg(F.min("need").alias("need")), "matrix")
     overlap = matrix.alias("x").join(matrix.alias("y"), F.expr("x.token = y.token and x.grp < y.grp"))\
         .select(F.col("x.grp").alias("a"), F.col("y.grp").alias("b"), F.greatest("x.need", "y.need").alias("need"))\
         .groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
-    members = stored(grouped.select("grp", "doc_id", "copies"), "members")
     alone = members.groupBy("grp").count().where("count > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
     pairs = stored(overlap.union(alone), "group-pairs")
     sides = pairs.select("a", "b", F.col("a").alias("grp"), F.lit(0).alias("side")).union(pairs.where("a != b").select("a", "b", F.col("b").alias("grp"), F.lit(1).alias("side")))
