@@ -115,3 +115,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estatelake.llm.vp_tree import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_personal_data")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estatelake.llm.personal_data import find
+
+    return find(table(spark, sf_dir, "documents"))
