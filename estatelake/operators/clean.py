@@ -37,8 +37,12 @@ def _with(df: DataFrame, names: list[str], make: Callable[[str, str], str]) -> D
     return df.withColumns({c: F.expr(make(X.name(c), S.dtype_of(df, c))) for c in present}) if present else df
 
 
+def standard_name(name: str) -> str:
+    return re.sub(r"[^a-z0-9]+", "_", name.strip().lower()).strip("_")
+
+
 def standardize_column_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*[re.sub(r"[^a-z0-9]+", "_", c.strip().lower()).strip("_") for c in df.columns])
+    return df.toDF(*[standard_name(c) for c in df.columns])
 
 
 def clean_text_columns(df: DataFrame) -> DataFrame:
@@ -151,13 +155,20 @@ def transform_listings(
     """Raw listings to processed ones: clean, keep the last row per id, derive, drop contacts.
 
     All rows without an id count as one id unless ``keep_null_ids`` is off.
-    Contact columns are dropped before the shuffle of the de-duplication: they take no part in
-    it when an order is named, and dropping early moves fewer bytes.
+    With a named order the last rows are found first, by cleaned copies of the id and of the order
+    columns alone; only they are cleaned whole, spread by the shuffle. Without one, the order rests on all cleaned columns.
     """
-    cleaned = clean_rows(df)
-    if order_by:
-        cleaned = drop_sensitive_columns(cleaned)
-    return derive_columns(keep_last_by_key(cleaned, "listing_id", order_by, keep_null_ids), as_of)
+    if not order_by or "listing_id" not in map(standard_name, df.columns):
+        return derive_columns(keep_last_by_key(clean_rows(df), "listing_id", order_by, keep_null_ids), as_of)
+    named = standardize_column_names(df).drop(*SENSITIVE_COLUMNS)
+    deciding = ["listing_id", *[c for c in order_by if c != "listing_id"]]
+    copies = {c: f"_order_{i}" for i, c in enumerate(deciding)}
+    # cleaned in one frame of their own names, then put beside the raw columns
+    whole = F.struct(*[F.col(X.name(c)) for c in named.columns])
+    slim = clean_rows(named.select(*deciding, whole.alias("whole_row")))
+    slim = slim.select("whole_row", *[F.col(c).alias(n) for c, n in copies.items()])
+    last = keep_last_by_key(slim, copies["listing_id"], [copies[c] for c in order_by], keep_null_ids)
+    return derive_columns(clean_rows(last.select("whole_row.*")), as_of)
 
 
 def columns_of_type(df: DataFrame, kind: str) -> list[str]:

@@ -22,15 +22,23 @@ _SCAN = ["listing_id", "category", "city", "title", "price_egp", "furnished", "r
 _NA = "('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')"
 
 
-@query("scan_listings", "SELECT " + ", ".join(f"CASE WHEN {c} NOT IN {_NA} THEN {c} END AS {c}" for c in _SCAN)
+@query("scan_listings", "SELECT " + ", ".join(
+    f"CASE WHEN {c} NOT IN {_NA}{' AND k_l_suppkey % 2 = 0' if c == 'description' else ''} THEN {c} END AS {c}" for c in _SCAN)
        + " FROM raw", over="raw")
 def _scan(spark, d):
-    """The sample written as CSV and read back through the listing scan."""
-    path = work_dir(spark, "scan") + ".csv"
-    raw = raw_listings(spark, d, *RAW_COLUMNS)
-    raw.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False,
-                      ignoreTrailingWhiteSpace=False, emptyValue="").csv(path)
-    return files.scan_listings(spark, path).select(*_SCAN)
+    """The sample written as CSV, half of it in another column order, without the description and with
+    untidy names, and read back through the listing scan."""
+    root = work_dir(spark, "scan")
+    raw = raw_listings(spark, d, *RAW_COLUMNS, "k_l_suppkey")
+    other = [c for c in reversed(RAW_COLUMNS) if c != "description"]
+    halves = {
+        f"{root}/a.csv": raw.where("k_l_suppkey % 2 = 0").select(*RAW_COLUMNS),
+        f"{root}/b.csv": raw.where("k_l_suppkey % 2 = 1").select(*[F.col(c).alias(f" {c.upper().replace('_', ' ')}") for c in other]),
+    }
+    for path, part in halves.items():
+        part.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False,
+                           ignoreTrailingWhiteSpace=False, emptyValue="").csv(path)
+    return files.scan_listings(spark, list(halves)).select(*_SCAN)
 
 
 _SUMMARY_COLUMNS = ["category", "city", "town", "district", "subdistrict", "property_type", "bedrooms", "furnished"]

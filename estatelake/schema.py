@@ -135,4 +135,7 @@ RUN_EVENT_SCHEMA = T.StructType([
     T.StructField("inserted_rows", T.LongType()),
     T.StructField("error_message", T.StringType()),
     T.StructField("event_ts", T.TimestampType()),
+    # beyond the fixed ones: source rows that were not loaded, for want of an id or for a fraction in an integer
+    T.StructField("null_id_rows", T.LongType()),
+    T.StructField("unfit_rows", T.LongType()),
 ])

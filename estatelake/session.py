@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,29 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = work_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the working area through Spark's own file system access."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, purpose: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``keep(df, name)`` stores like ``stored``; all of it is removed when the block ends.
+
+    For jobs whose results are complete by then, above all those that repeat for ever.
+    """
+    root = work_dir(spark, purpose)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = f"{root}/{name}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    try:
+        yield keep
+    finally:
+        remove_folder(spark, root)

@@ -126,7 +126,7 @@ def test_csv_scan_and_staging(spark, tmp_path):
     path = tmp_path / "in.csv"
     body = {c: "" for c in RAW_COLUMNS} | {"listing_id": "1", "city": "N/A", "title": '"say ""hi""\nthere"'}
     path.write_text(",".join(RAW_COLUMNS) + "\n" + ",".join(body.values()) + "\n")
-    row = files.scan_listings(spark, str(path)).first()
+    row = files.scan_listings(spark, str(path), multi_line=True).first()
     assert (row["listing_id"], row["city"], row["title"], row["town"]) == ("1", None, 'say "hi"\nthere', None)
     with pytest.raises(ValueError):
         files.scan_listings(spark, str(tmp_path / "in.txt"))
@@ -159,3 +159,46 @@ def test_stream_replay_adds_nothing(spark, tmp_path):
     assert run("c1") == {(1, 120.0), (2, 9.0), (4, 6.0)}
     assert run("c2") == {(1, 120.0), (2, 9.0), (4, 6.0)}
     assert spark.read.parquet(target).count() == 3
+
+
+def write_csv(path, header, *rows):
+    path.parent.mkdir(exist_ok=True)
+    path.write_text("\n".join([",".join(header), *[",".join(r) for r in rows]]) + "\n")
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    write_csv(tmp_path / "in.csv" / "a.csv", ["City", " Listing ID", "extra", "price_egp"], ["Cairo", "1", "x", "5"])
+    write_csv(tmp_path / "in.csv" / "b.csv", ["listing_id", "price_egp", "city"], ["2", "6", "NULL"])
+    got = {r["listing_id"]: r for r in files.scan_listings(spark, str(tmp_path / "in.csv")).collect()}
+    assert (got["1"]["city"], got["1"]["price_egp"], got["2"]["city"], got["2"]["price_egp"]) == ("Cairo", "5", None, "6")
+    assert list(got["1"].asDict()) == RAW_COLUMNS and got["1"]["title"] is None
+    write_csv(tmp_path / "in.csv" / "c.csv", ["city", "price_egp"], ["x", "1"])
+    with pytest.raises(ValueError, match="listing_id"):
+        files.scan_listings(spark, str(tmp_path / "in.csv"))
+    write_csv(tmp_path / "twice.csv" / "a.csv", ["listing_id", "city", "City "], ["1", "x", "y"])
+    with pytest.raises(ValueError, match="twice"):
+        files.scan_listings(spark, str(tmp_path / "twice.csv"))
+
+
+def test_csv_stream_by_name_with_a_bad_file(spark, tmp_path):
+    drop, target, log = tmp_path / "drop", str(tmp_path / "target"), str(tmp_path / "log")
+    scratch_before = set(tmp_path.iterdir())
+
+    def run(checkpoint="c"):
+        return stream_incremental_load(spark, str(drop), target, str(tmp_path / checkpoint), at(), at(), log_path=log)
+
+    write_csv(drop / "a.csv", ["price_egp", "listing_id", "bathrooms"], ["10", "1", "2"], ["11", "", "1"], ["12", "2", "1.5"])
+    run().awaitTermination()
+    write_csv(drop / "b.csv", ["listing_id", "city", "price_egp"], ["1", "x", "99"], ["3", "Giza", "20"])
+    run().awaitTermination()
+    loaded = {r["listing_id"]: (r["price_egp"], r["city"]) for r in spark.read.parquet(target).select("listing_id", "price_egp", "city").collect()}
+    assert loaded == {1: (10.0, None), 3: (20.0, "Giza")}
+    write_csv(drop / "c.csv", ["city", "price_egp"], ["x", "1"])
+    with pytest.raises(Exception, match="listing_id"):
+        run().awaitTermination()
+    runs = R.read_runs(spark, log).orderBy("run_id").collect()
+    assert [r["status"] for r in runs] == ["SUCCESS", "SUCCESS", "FAILED"] and "listing_id" in runs[2]["error_message"]
+    assert (runs[0]["source_rows"], runs[0]["null_id_rows"], runs[0]["unfit_rows"], runs[0]["inserted_rows"]) == (3, 1, 1, 1)
+    write_csv(drop / "c.csv", ["listing_id", "price_egp"], ["4", "1"])
+    run().awaitTermination()
+    assert spark.read.parquet(target).count() == 3 and scratch_before <= set(tmp_path.iterdir())
