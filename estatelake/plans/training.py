@@ -1,21 +1,21 @@
 """Training, evaluating and storing price models with MLlib.
 
 The learners are MLlib forests and boosted trees: the same roles, weighting, routing and
-metrics as described for the engine, but not the numbers of other tree libraries. Categories
-with few values are one-hot encoded, location columns with many values are target encoded on
-the training rows only.
+metrics as described for the engine, but not the numbers of other tree libraries. Which categories are
+one-hot and which are encoded by their mean price is fixed by column. Means of training rows leave out
+the row's own fold, so that a label never feeds its own feature.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass, field
 from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     GBTRegressionModel,
     GBTRegressor,
@@ -25,7 +25,6 @@ from pyspark.ml.regression import (
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from estatelake.functions import sqltext as X
 from estatelake.functions.scalars import hash_bucket
 from estatelake.functions.stats import group_stats, stacked
 from estatelake.operators.features import missing_category_token, ml_dataset
@@ -35,30 +34,37 @@ from estatelake.schema import (
     LEAKAGE_COLUMNS,
     NUMERIC_FEATURES,
     OFFERING_BY_MARKET,
+    ONE_HOT_FEATURES,
     QUALIFIED_SEGMENTS,
+    TARGET_MEAN_FEATURES,
 )
-from estatelake.session import stored
+from estatelake.session import stored, work_dir
 
 SEED = 42
 MIN_SEGMENT_ROWS = 500
 MIN_CATEGORY_ROWS = 5
-ONE_HOT_LIMIT = 32
+FOLDS = 5
 MODEL_NAMES = ("extra_trees", "random_forest", "boosted")
 
 
 @dataclass
 class TreeSettings:
-    """Sizes of the models; the defaults are for production, tests pass small ones."""
+    """Sizes of the models; the defaults are for production, tests pass small ones.
+
+    Fixed values: 200, 300 and 300 trees, leaves of 2 rows, 3,000 rounds of depth 10 at a rate of 0.04, a
+    patience of 150 rounds, 128 bins, 500 final rounds at least. Forests are not to be limited in depth: 30 is MLlib's limit.
+    """
 
     market_trees: dict[str, int] = field(default_factory=lambda: {"sale": 200, "rent": 300})
     family_trees: int = 300
-    tree_depth: int = 12
+    tree_depth: int = 30
     min_leaf: int = 2
-    boost_rounds: int = 300
-    boost_depth: int = 8
+    boost_rounds: int = 3000
+    boost_depth: int = 10
     boost_rate: float = 0.04
+    patience: int = 150
     min_final_rounds: int = 500
-    bins: int = 64
+    bins: int = 128
 
 
 # --- rows ---------------------------------------------------------------------------------
@@ -99,52 +105,105 @@ def frequent_values(train: DataFrame, categorical: list[str], min_rows: int = MI
 
 # --- encoding -----------------------------------------------------------------------------
 
-def fit_encoder(train: DataFrame, min_rows: int = MIN_CATEGORY_ROWS) -> PipelineModel:
-    """A stored-able model from feature columns to one ``features`` vector.
-
-    Missing numbers become the median, missing categories the most frequent one. Rare and
-    unseen categories share one code: all zeros if one-hot, the overall mean if target encoded.
-    Only the fill values and the frequent categories come to the driver.
+@dataclass
+class Encoder:
+    """From feature columns to one ``features`` vector.
+
+    Missing numbers become the median, missing categories the most frequent one. One-hot columns have a place for each
+    frequent label; a target-mean column holds the mean label of its value, drawn towards the mean of all rows by
+    ``smoothing`` rows. Rare and unseen categories are all zeros or the mean of all rows.
+    Fill values, one-hot labels and fold totals are in the driver; the means of the columns
+    with many values stay in a table below ``path``, one folder a column, and are joined: a small one is broadcast by
+    its stored size, a large one is shuffled.
     """
+
+    numbers: dict[str, float]
+    modes: dict[str, str]
+    labels: dict[str, list[str]]
+    totals: list[tuple[float, float]]  # (sum, rows) of the labels of each fold
+    target_means: list[str]
+    smoothing: float
+    key: str
+    path: str
+
+    def transform(self, df: DataFrame, training: Column | None = None) -> DataFrame:
+        """``df`` with ``features``. Where ``training`` holds, means leave out the row's own fold."""
+        fold = F.lit(None).cast("int") if training is None else F.when(training, fold_of(self.key))
+        out = df.withColumn("_fold", fold)
+        texts = {f"_c_{c}": F.coalesce(F.col(c).cast("string"), F.lit(self.modes.get(c))) for c in (*self.labels, *self.target_means)}
+        cells = {f"_n_{c}": F.coalesce(F.col(c).cast("double"), F.lit(self.numbers.get(c, 0.0))) for c in NUMERIC_FEATURES}
+        out = out.withColumns({**texts, **cells})
+        hot = {f"_x_{i}_{j}": F.coalesce((F.col(f"_c_{c}") == v).cast("double"), F.lit(0.0)) for i, (c, vs) in enumerate(self.labels.items()) for j, v in enumerate(vs)}
+        sums, rows = sum(s for s, _ in self.totals), sum(n for _, n in self.totals)
+        prior = F.lit(sums / rows if rows else 0.0)
+        for f, (s, n) in enumerate(self.totals):
+            prior = F.when(F.col("_fold") == f, (sums - s) / (rows - n) if rows > n else 0.0).otherwise(prior)
+        means = {}
+        spark = df.sparkSession
+        for i, c in enumerate(self.target_means):
+            table = spark.read.schema("value string, s double, n double, folds map<int,struct<s:double,n:double>>").parquet(f"{self.path}/column_name={c}")
+            out = out.join(table.select(F.col("value").alias(f"_c_{c}"), F.struct("s", "n", "folds").alias(f"_t_{i}")), f"_c_{c}", "left")
+            t = F.col(f"_t_{i}")
+            own = t["folds"][F.col("_fold")]
+            left = [t[k] - F.coalesce(own[k], F.lit(0.0)) for k in ("s", "n")]
+            means[f"_m_{c}"] = F.coalesce(F.try_divide(left[0] + self.smoothing * F.col("_prior"), left[1] + self.smoothing), F.col("_prior"))
+        out = out.withColumns({**hot, "_prior": prior}).withColumns(means)
+        vector = VectorAssembler(inputCols=[*cells, *hot, *means], outputCol="features")
+        return vector.transform(out).select(*df.columns, "features")
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.active()
+        if self.target_means:
+            spark.read.parquet(self.path).write.mode("overwrite").partitionBy("column_name").parquet(f"{path}/means")
+        plain = {**self.__dict__, "path": ""}
+        spark.createDataFrame([(json.dumps(plain),)], "encoder string").coalesce(1).write.mode("overwrite").json(f"{path}/encoder")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Encoder:
+        plain = json.loads(spark.read.schema("encoder string").json(f"{path}/encoder").first()[0])
+        return Encoder(**{**plain, "totals": [tuple(t) for t in plain["totals"]], "path": f"{path}/means"})
+
+
+def fold_of(key: str) -> Column:
+    return F.pmod(hash_bucket(F.col(key)), F.lit(FOLDS)).cast("int")
+
+
+def target_means(train: DataFrame, key: str, columns: list[str], min_rows: int, path: str) -> list[str]:
+    """Store (value, sum, rows, the same by fold) of the labels of every frequent value, one folder a column;
+    returns the columns that have any. Sums of a (column, value, fold) are combined on the map side."""
+    rows = train.select(fold_of(key).alias("fold"), F.col("label"), *columns)
+    long = stacked(rows, columns, "column_name", "value", "string", keep=["fold", "label"]).where("value IS NOT NULL")
+    parts = long.groupBy("column_name", "value", "fold").agg(F.sum("label").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
+    whole = parts.groupBy("column_name", "value").agg(
+        F.sum("s").alias("s"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("s", "n")))).alias("folds"),
+    ).where(F.col("n") >= min_rows)
+    whole.write.mode("overwrite").partitionBy("column_name").parquet(path)
+    spark = train.sparkSession
+    stored_means = spark.read.schema("value string, s double, n double, folds map<int,struct<s:double,n:double>>, column_name string").parquet(path)
+    found = {r[0] for r in stored_means.select("column_name").distinct().collect()}
+    return [c for c in columns if c in found]
+
+
+def fit_encoder(train: DataFrame, key: str = "listing_id", min_rows: int = MIN_CATEGORY_ROWS,
+                mean_columns: list[str] = TARGET_MEAN_FEATURES) -> Encoder:
+    """The encoder of training rows with ``label`` and the model features."""
+    spark = train.sparkSession
     fills = {r["column_name"]: r for r in fill_values(train, NUMERIC_FEATURES, CATEGORICAL_FEATURES).collect()}
-    labels: dict[str, list[str]] = {c: [] for c in CATEGORICAL_FEATURES}
-    frequent = frequent_values(train, CATEGORICAL_FEATURES, min_rows)
-    for r in frequent.orderBy("column_name", F.col("rows").desc(), "value").toLocalIterator():
-        labels[r["column_name"]].append(r["value"])
-
-    def number_fill(c: str) -> float:
-        median = fills[c]["number"] if c in fills else None
-        return 0.0 if median is None else median
-
-    numbers = [f"coalesce(double(`{c}`), {number_fill(c)!r}D) AS `n_{c}`" for c in NUMERIC_FEATURES]
-    used = [c for c in CATEGORICAL_FEATURES if labels[c]]
-    texts = [f"coalesce(string(`{c}`), {X.quoted(fills[c]['text'])}) AS `c_{c}`" for c in used]
-    fill = SQLTransformer(statement=f"SELECT *, {', '.join(numbers + texts)} FROM __THIS__")
-    stages = [fill]
-    current = fill.transform(train)
-    for c in used:
-        indexer = StringIndexerModel.from_labels(labels[c], f"c_{c}", f"i_{c}", handleInvalid="keep")
-        stages.append(indexer)
-        current = indexer.transform(current)
-    few = [c for c in used if len(labels[c]) <= ONE_HOT_LIMIT]
-    many = [c for c in used if len(labels[c]) > ONE_HOT_LIMIT]
-    if few:
-        stages.append(OneHotEncoder(
-            inputCols=[f"i_{c}" for c in few], outputCols=[f"x_{c}" for c in few], handleInvalid="error"
-        ).fit(current))
-    if many:
-        stages.append(TargetEncoder(
-            inputCols=[f"i_{c}" for c in many], outputCols=[f"x_{c}" for c in many], labelCol="label",
-            targetType="continuous", handleInvalid="keep", smoothing=float(min_rows),
-        ).fit(current))
-        # an expression, so that trees see a number and not the category codes it came from
-        plain = [f"x_{c} + 0.0D AS `t_{c}`" for c in many]
-        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(plain)} FROM __THIS__"))
-    stages.append(VectorAssembler(
-        inputCols=[f"n_{c}" for c in NUMERIC_FEATURES] + [f"x_{c}" for c in few] + [f"t_{c}" for c in many],
-        outputCol="features",
-    ))
-    return PipelineModel(stages=stages)
+    frequent = frequent_values(train, ONE_HOT_FEATURES, min_rows).orderBy("column_name", F.col("rows").desc(), "value").collect()
+    labels = {c: [r["value"] for r in frequent if r["column_name"] == c] for c in ONE_HOT_FEATURES}
+    by_fold = {r["fold"]: r for r in train.groupBy(fold_of(key).alias("fold")).agg(F.sum("label").alias("s"), F.count("label").alias("n")).collect()}
+    totals = [(float(by_fold[f]["s"] or 0.0), float(by_fold[f]["n"])) if f in by_fold else (0.0, 0.0) for f in range(FOLDS)]
+    path = work_dir(spark, "target-means")
+    used = target_means(train, key, mean_columns, min_rows, path) if mean_columns else []
+    number = lambda c: fills[c]["number"] if c in fills and fills[c]["number"] is not None else 0.0
+    return Encoder({c: number(c) for c in NUMERIC_FEATURES}, {c: fills[c]["text"] for c in CATEGORICAL_FEATURES if c in fills and fills[c]["text"] is not None},
+                   {c: v for c, v in labels.items() if v}, totals, used, float(min_rows), key, path)
+
+
+def encoded_parts(parts: DataFrame, key: str, purpose: str = "encoded") -> tuple[Encoder, DataFrame]:
+    """The encoder of the training part and all parts encoded (split, label, features), stored once."""
+    encoder = fit_encoder(parts.where(F.col("split") == "train"), key)
+    return encoder, stored(encoder.transform(parts, F.col("split") == "train").select("split", "label", "features"), purpose)
 
 
 def learner(name: str, settings: TreeSettings, trees: int | None = None, **boost):
@@ -163,12 +222,30 @@ def learner(name: str, settings: TreeSettings, trees: int | None = None, **boost
     )
 
 
+def best_round(errors: list[float], patience: int) -> int:
+    """The round (from 1) with the least error before ``patience`` rounds in a row bring none that is less."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
 def fit_boosted(train: DataFrame, validation: DataFrame, settings: TreeSettings, **boost):
-    """Boosted trees that stop when the validation error no longer falls; returns (model, rounds kept)."""
-    marked = train.withColumn("_held_out", F.lit(False)).unionByName(validation.withColumn("_held_out", F.lit(True)))
-    gbt = learner("boosted", settings, **boost).setValidationIndicatorCol("_held_out")
-    model = gbt.fit(marked)
-    return model, model.getNumTrees
+    """Boosted trees up to the best round on the validation rows; returns (model, that round).
+
+    MLlib's own stopping has no patience and ends at the first round without a gain, so all rounds are fitted,
+    measured round by round, and fitted again up to the best one, which gives the same trees.
+    """
+    model = learner("boosted", settings, **boost).fit(train)
+    if validation.isEmpty():
+        return model, model.getNumTrees
+    best = best_round(model.evaluateEachIteration(validation, "squared"), settings.patience)
+    if best < model.getNumTrees:
+        model = learner("boosted", settings, **{**boost, "rounds": best}).fit(train)
+    return model, best
 
 
 # --- metrics --------------------------------------------------------------------------------
@@ -217,7 +294,7 @@ class ModelFamily:
 
     market: str
     segment: str | None
-    encoder: PipelineModel
+    encoder: Encoder
     models: dict[str, object]
     weights: dict[str, float]
     r2: float
@@ -261,14 +338,12 @@ def train_model_family(
     """Fit on 70 %, weigh on 15 %, test the ensemble on 15 %, then fit again on all rows."""
     parts = split_rows(rows, key, train=70, validation=15)
     started = time.time()
-    encoder = fit_encoder(parts.where(F.col("split") == "train"))
-    encoded = stored(encoder.transform(parts).select("split", "label", "features"), "encoded")
+    encoder, encoded = encoded_parts(parts, key)
     train, validation, test = (encoded.where(F.col("split") == s) for s in ("train", "validation", "test"))
     models: dict[str, object] = {}
-    rounds = settings.boost_rounds
     for name in names:
         if name == "boosted":
-            models[name], rounds = fit_boosted(train, validation, settings)
+            models[name], _ = fit_boosted(train, validation, settings)
         else:
             models[name] = learner(name, settings).fit(train)
 
@@ -282,12 +357,12 @@ def train_model_family(
     mean = reduce(lambda a, b: a + b, [F.col(f"log_{n}") * F.lit(weights[n]) for n in names])
     tested = regression_metrics(long_predictions(scored(test), {"ensemble": mean}), "label", "predicted", ["model"]).first()
     if refit:
-        encoder = fit_encoder(rows)
-        everything = stored(encoder.transform(rows).select("label", "features"), "encoded-all")
+        # the full number of rounds: the patience is for weighing only
+        encoder = fit_encoder(rows, key)
+        everything = stored(encoder.transform(rows, F.lit(True)).select("label", "features"), "encoded-all")
         for name in names:
-            more = {"rounds": max(rounds, 1)} if name == "boosted" else {}
-            models[name] = learner(name, settings, **more).fit(everything)
-    test_r2 = float(tested["r2"]) if tested and tested["r2"] is not None else 0.0
+            models[name] = learner(name, settings).fit(everything)
+    test_r2 = r2_of(tested)
     metadata = model_metadata(
         market, segment, rows.count(), {n: {k: v for k, v in weighed[n].items() if k != "model"} for n in names},
         tested.asDict() if tested else {}, time.time() - started, settings,
@@ -295,6 +370,11 @@ def train_model_family(
     return ModelFamily(market, segment, encoder, models, weights, test_r2, metadata)
 
 
+def r2_of(row) -> float:
+    """R² of a metrics row; 0 where there is none (no rows, or a constant label)."""
+    return float(row["r2"]) if row and row["r2"] is not None else 0.0
+
+
 def model_metadata(market: str, segment: str | None, rows: int, validation: dict, test: dict, seconds: float,
                    settings: TreeSettings) -> dict:
     return {
@@ -341,18 +421,18 @@ def train_market_models(rows: DataFrame, settings: TreeSettings, key: str = "lis
     out = {}
     for market, name in (("sale", "extra_trees"), ("rent", "random_forest")):
         parts = split_rows(rows.where(F.col("offering_type") == OFFERING_BY_MARKET[market]), key)
-        encoder = fit_encoder(parts.where(F.col("split") == "train"))
-        encoded = stored(encoder.transform(parts).select("split", "label", "features"), "encoded")
+        encoder, encoded = encoded_parts(parts, key)
         started = time.time()
         model = learner(name, settings, settings.market_trees[market]).fit(encoded.where(F.col("split") == "train"))
         scored = long_predictions(model.transform(encoded.where(F.col("split") == "test")), {name: f"log_{name}"})
         test = regression_metrics(scored, "label", "predicted", ["model"]).first()
-        metadata = model_metadata(market, None, encoded.count(), {}, test.asDict(), time.time() - started, settings)
-        out[market] = ModelFamily(market, None, encoder, {name: model}, {name: 1.0}, test["r2"], metadata)
+        metadata = model_metadata(market, None, encoded.count(), {}, test.asDict() if test else {}, time.time() - started, settings)
+        out[market] = ModelFamily(market, None, encoder, {name: model}, {name: 1.0}, r2_of(test), metadata)
     return out
 
 
-# The three boosted settings that are compared (rounds, rate, depth, resampling).
+# The three boosted settings that are compared. Rounds, rates and depths are fixed values; the resampling of the third
+# is ours: it stands for the stronger L2 term of the leaves that MLlib's trees do not have.
 BOOST_CONFIGS = {
     "boosted_balanced": {"rounds": 3500, "rate": 0.035, "depth": 8, "subsample": 1.0},
     "boosted_deeper": {"rounds": 3000, "rate": 0.04, "depth": 10, "subsample": 1.0},
@@ -360,16 +440,17 @@ BOOST_CONFIGS = {
 }
 
 
-def tune_boosted(rows: DataFrame, settings: TreeSettings, configs: dict[str, dict] = BOOST_CONFIGS,
+def tune_boosted(rows: DataFrame, settings: TreeSettings, market: str, configs: dict[str, dict] = BOOST_CONFIGS,
                  key: str = "listing_id") -> tuple[DataFrame, ModelFamily]:
     """(validation metrics per setting, family of the best one fitted again on all rows).
 
-    The lowest validation RMSE wins. The test rows measure the winner and choose nothing.
+    ``rows`` must be of one market. The lowest validation RMSE wins. The test rows measure the winner and choose nothing.
     """
     spark, started = rows.sparkSession, time.time()
+    if not rows.where(~F.col("offering_type").eqNullSafe(F.lit(OFFERING_BY_MARKET[market]))).isEmpty():
+        raise ValueError(f"rows of another market than {market}")
     parts = split_rows(rows, key, train=70, validation=15)
-    encoder = fit_encoder(parts.where(F.col("split") == "train"))
-    encoded = stored(encoder.transform(parts).select("split", "label", "features"), "encoded")
+    _, encoded = encoded_parts(parts, key)
     train, validation, test = (encoded.where(F.col("split") == s) for s in ("train", "validation", "test"))
     results, fitted = [], {}
     for name, config in configs.items():
@@ -383,13 +464,12 @@ def tune_boosted(rows: DataFrame, settings: TreeSettings, configs: dict[str, dic
     tested = regression_metrics(
         long_predictions(model.transform(test), {winner: "log_boosted"}), "label", "predicted", ["model"]
     ).first()
-    final_encoder = fit_encoder(rows)
-    everything = stored(final_encoder.transform(rows).select("label", "features"), "encoded-all")
+    final_encoder = fit_encoder(rows, key)
+    everything = stored(final_encoder.transform(rows, F.lit(True)).select("label", "features"), "encoded-all")
     final = learner("boosted", settings, **{**configs[winner], "rounds": max(kept + 1, settings.min_final_rounds)}).fit(everything)
-    market = next(m for m, v in OFFERING_BY_MARKET.items() if v == rows.select("offering_type").first()[0])
-    metadata = model_metadata(market, None, rows.count(), {r["model"]: r for r in results}, tested.asDict(),
+    metadata = model_metadata(market, None, rows.count(), {r["model"]: r for r in results}, tested.asDict() if tested else {},
                               time.time() - started, settings)
-    family = ModelFamily(market, None, final_encoder, {"boosted": final}, {"boosted": 1.0}, tested["r2"], metadata)
+    family = ModelFamily(market, None, final_encoder, {"boosted": final}, {"boosted": 1.0}, r2_of(tested), metadata)
     table = [(r["model"], r["rows"], r["mae_egp"], r["rmse_egp"], r["r2"], r["median_absolute_error_egp"],
               r["rounds_kept"], r["model"] == winner) for r in results]
     schema = ("config string, rows bigint, mae_egp double, rmse_egp double, r2 double, "
@@ -398,16 +478,16 @@ def tune_boosted(rows: DataFrame, settings: TreeSettings, configs: dict[str, dic
 
 
 def benchmark_models(rows: DataFrame, settings: TreeSettings, key: str = "listing_id",
-                     names: tuple[str, ...] = MODEL_NAMES) -> DataFrame:
-    """Test metrics and fit seconds of every model per market, ranked by R², then by MAE.
+                     names: tuple[str, ...] = MODEL_NAMES, path: str | None = None) -> DataFrame:
+    """Test metrics and fit seconds of every model per market, ranked by R², then by MAE,
+    and stored as JSON at ``path`` if given.
 
     Boosted trees stop on a validation part of the training rows, never on the test rows.
     """
     parts = []
     for market, offering in OFFERING_BY_MARKET.items():
         split = split_rows(rows.where(F.col("offering_type") == offering), key, train=70, validation=10)
-        encoder = fit_encoder(split.where(F.col("split") == "train"))
-        encoded = stored(encoder.transform(split).select("split", "label", "features"), "encoded")
+        _, encoded = encoded_parts(split, key)
         fit_rows, held, test = (encoded.where(F.col("split") == s) for s in ("train", "validation", "test"))
         seconds, scored = {}, test
         for name in names:
@@ -424,7 +504,11 @@ def benchmark_models(rows: DataFrame, settings: TreeSettings, key: str = "listin
         took = F.create_map(*[x for n, s in seconds.items() for x in (F.lit(n), F.lit(s))])
         parts.append(measured.select(F.lit(market).alias("market"), "*", took[F.col("model")].alias("fit_seconds")))
     order = Window.partitionBy("market").orderBy(F.col("r2").desc(), F.col("mae_egp").asc(), "model")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order))
+    ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order))
+    if path is None:
+        return ranked
+    ranked.coalesce(1).write.mode("overwrite").json(path)  # a row for each market and model
+    return ranked.sparkSession.read.schema(ranked.schema).json(path)
 
 
 # --- storing and applying ---------------------------------------------------------------------
@@ -432,7 +516,7 @@ def benchmark_models(rows: DataFrame, settings: TreeSettings, key: str = "listin
 def save_family(family: ModelFamily, root: str) -> str:
     """Store the models of a family and one metadata row below ``root``."""
     path = f"{root}/{family.name}"
-    family.encoder.write().overwrite().save(f"{path}/encoder")
+    family.encoder.save(f"{path}/encoding")
     for name, model in family.models.items():
         model.write().overwrite().save(f"{path}/{name}")
     spark = SparkSession.active()
@@ -441,21 +525,17 @@ def save_family(family: ModelFamily, root: str) -> str:
 
 
 def metadata_frame(spark: SparkSession, family: ModelFamily) -> DataFrame:
-    import json
-
     row = (family.market, family.segment, json.dumps(family.weights), float(family.r2), json.dumps(family.metadata, default=str))
     return spark.createDataFrame([row], "market string, segment string, weights string, test_r2 double, metadata string")
 
 
 def load_family(spark: SparkSession, path: str) -> ModelFamily:
-    import json
-
     info = spark.read.schema("market string, segment string, weights string, test_r2 double, metadata string").json(
         f"{path}/metadata").first()
     weights = json.loads(info["weights"])
     kinds = {n: GBTRegressionModel if n == "boosted" else RandomForestRegressionModel for n in weights}
     models = {n: kinds[n].load(f"{path}/{n}") for n in weights}
-    return ModelFamily(info["market"], info["segment"], PipelineModel.load(f"{path}/encoder"), models, weights,
+    return ModelFamily(info["market"], info["segment"], Encoder.load(spark, f"{path}/encoding"), models, weights,
                        info["test_r2"], json.loads(info["metadata"]))
 
 

@@ -86,6 +86,13 @@ CATEGORICAL_FEATURES = [
     "district_property_type", "furnished_property_type",
 ]
 
+# --- how model categories are encoded, whatever values a table holds: few values by nature, one-hot; the others by their target mean
+ONE_HOT_FEATURES = [
+    "property_type", "furnished", "listing_level", "payment_method", "area_size_category",
+    "bedroom_category", "bathroom_category",
+]
+TARGET_MEAN_FEATURES = [c for c in CATEGORICAL_FEATURES if c not in ONE_HOT_FEATURES]
+
 # --- fixed values: the two older model input layouts --------------------------------------
 LEGACY_SALE_INPUT = [
     "lat", "lon", "bedrooms", "bathrooms", "area_value", "is_premium", "is_featured",
