@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from estatelake.session import stored
 
 SHARD = 8_192
-LEAF = 64
+LEAF = 512
 K = 20
 FACTOR = 0.9
 EVERY = 20
