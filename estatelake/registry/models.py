@@ -16,10 +16,10 @@ from estatelake.session import work_dir
 from estatelake.sources.sample import listings, table
 
 # The number of trees and rounds is the one thing that is smaller than in production; rows, models, refits and limits are as there.
-SMALL = T.TreeSettings(market_trees={"sale": 8, "rent": 8}, family_trees=8, tree_depth=8, boost_rounds=8,
-                       boost_depth=4, boost_rate=0.3, patience=3, min_final_rounds=8, bins=32)
+SMALL = T.TreeSettings(market_trees={"sale": 8, "rent": 8}, family_trees=8, tree_depth=8, boost_rounds=6,
+                       boost_depth=4, boost_rate=0.3, patience=3, min_final_rounds=6, bins=32)
 QUALIFIED = [("sale", "economy"), ("sale", "standard"), ("sale", "medium"), ("rent", "large"), ("rent", "small")]
-TUNING_ROUNDS = 4
+TUNING_ROUNDS = 2
 #: R² on test rows that every model must reach where the price follows from the features
 FLOOR = 0.6
 
