@@ -5,8 +5,8 @@ that holds a third of a 100 TB table would not fit. Here each value first falls
 coarse bucket (a monotone function of the value, so buckets are ordered like values):
 
 1. equal values of a group are combined on the map side and counted;
-2. bucket totals per group give each bucket's range of ranks - a group has at most
-   ``2 * 710 * SCALE`` buckets, whatever its row count;
+2. bucket totals per group give each bucket's range of ranks - buckets have the same relative width at every
+   magnitude, and a group has at most ``2 * 2200 * SCALE`` of them, whatever its row count;
 3. only the buckets holding a wanted rank are opened, and ranked within the bucket.
 
 Results are exact and equal linear interpolation between closest ranks.
@@ -26,14 +26,20 @@ SCALE = 4096
 _NO_VALUE = -(2**62)
 
 
+_LIFT = 1100 * SCALE  # above the exponent of the smallest number, so that both signs have their own range
+
+
 def _bucket(v: Column) -> Column:
-    spread = F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(SCALE))
+    """Ordered like the values; 0 is a bucket of its own."""
+    width = F.floor(F.log2(F.abs(v)) * F.lit(SCALE)) + F.lit(_LIFT)
+    spread = F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("bigint") * width)
     return F.coalesce(spread, F.lit(_NO_VALUE)).cast("bigint")
 
 
 def _bucket_base(b: Column) -> Column:
     """A value close to all values of bucket ``b``; sums of squares are taken around it."""
-    return F.signum(b.cast("double")) * F.expm1(F.abs(b.cast("double")) / F.lit(SCALE))
+    size = F.pow(F.lit(2.0), (F.abs(b.cast("double")) - F.lit(float(_LIFT))) / F.lit(float(SCALE)))
+    return F.when(b == 0, F.lit(0.0)).otherwise(F.signum(b.cast("double")) * size)
 
 
 def group_stats(

@@ -78,7 +78,22 @@ def city_locations(df: DataFrame, city: str) -> DataFrame:
 
 
 def page_listings(df: DataFrame, skip: int, limit: int, order_by: list[str]) -> DataFrame:
-    return df.orderBy(*order_by).offset(skip).limit(limit)
+    """One page with the ``total`` of all rows beside it. The rows skipped pass through the driver: for deep pages see ``page_after``."""
+    return df.orderBy(*order_by).offset(skip).limit(limit).withColumn("total", F.lit(df.count()))
+
+
+def page_after(df: DataFrame, last: dict, limit: int) -> DataFrame:
+    """The page that follows the row with the order values ``last`` (column -> value, in order; nulls first).
+
+    The condition is a filter, so a page costs the same at any depth. Rows that tie in all order columns with the last one are
+    passed over: end the order with a key.
+    """
+    later, equal = F.lit(False), F.lit(True)
+    for c, v in last.items():
+        above = F.col(c).isNotNull() if v is None else F.col(c) > F.lit(v)
+        later = later | (equal & F.coalesce(above, F.lit(False)))
+        equal = equal & F.col(c).eqNullSafe(F.lit(v))
+    return df.where(later).orderBy(*[F.col(c).asc_nulls_first() for c in last]).limit(limit)
 
 
 def request_rules(requests: DataFrame, market: str = "market_type") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatelake.functions.stats import correlations, group_stats, stacked
@@ -121,43 +121,50 @@ def market_share(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
+def _of_markets(df: DataFrame, category: str | None, normalize: str = "lower") -> DataFrame:
+    if category:
+        return market_filter(df, "category", category, normalize)
+    names = F.lower("category") if normalize == "lower" else F.col("category")
+    return df.withColumn("category", names).where(F.col("category").isin(list(CATEGORY_BY_MARKET.values())))
+
+
 # --- prices by group ------------------------------------------------------------------------
 
-def category_prices(df: DataFrame, category: str, key: str, extremes: bool = False,
+def category_prices(df: DataFrame, category: str | None, key: str, extremes: bool = False,
                     present_only: bool = False) -> DataFrame:
-    """Price statistics per ``key`` in one market; rows without the key are left out.
+    """Price statistics per ``key`` in one market, or per category and key in one pass over both for None.
 
-    ``listings`` counts present prices. ``present_only`` leaves out groups without any price.
+    Rows without the key are left out. ``listings`` counts present prices; ``present_only`` leaves out groups without any price.
     """
-    rows = market_filter(df, "category", category)
+    rows, keys = _of_markets(df, category), [key] if category else ["category", key]
     if present_only:
         rows = rows.where(F.col("price_egp").isNotNull())
     return group_stats(
-        rows, [key], "price_egp", {"median_price": 0.5}, count="listings", mean="mean_price",
+        rows, keys, "price_egp", {"median_price": 0.5}, count="listings", mean="mean_price",
         low="min_price" if extremes else None, high="max_price" if extremes else None,
     )
 
 
-def property_type_prices(df: DataFrame, category: str) -> DataFrame:
+def property_type_prices(df: DataFrame, category: str | None) -> DataFrame:
     return category_prices(df, category, "property_type", extremes=True)
 
 
-def city_prices(df: DataFrame, category: str) -> DataFrame:
+def city_prices(df: DataFrame, category: str | None) -> DataFrame:
     return category_prices(df, category, "city")
 
 
-def bedroom_prices(df: DataFrame, category: str) -> DataFrame:
+def bedroom_prices(df: DataFrame, category: str | None) -> DataFrame:
     return category_prices(df, category, "bedrooms", present_only=True)
 
 
-def furnished_prices(df: DataFrame, category: str) -> DataFrame:
+def furnished_prices(df: DataFrame, category: str | None) -> DataFrame:
     return category_prices(df, category, "furnished")
 
 
-def median_price_by(df: DataFrame, category: str, key: str) -> DataFrame:
-    """Median of positive prices per ``key`` in one market (chart data)."""
-    rows = market_filter(price_prepare(df), "category", category, normalize="exact")
-    return group_stats(rows, [key], "price_egp", {"median_price": 0.5})
+def median_price_by(df: DataFrame, category: str | None, key: str) -> DataFrame:
+    """Median of positive prices per ``key`` in one market (chart data), or per category and key for None."""
+    rows = _of_markets(price_prepare(df), category, normalize="exact")
+    return group_stats(rows, [key] if category else ["category", key], "price_egp", {"median_price": 0.5})
 
 
 def median_price_by_market(df: DataFrame) -> DataFrame:
@@ -165,11 +172,15 @@ def median_price_by_market(df: DataFrame) -> DataFrame:
     return group_stats(rows, ["category"], "price_egp", {"median_price": 0.5})
 
 
-def median_price_by_bedrooms(df: DataFrame, category: str, most: int = 8) -> DataFrame:
+def median_price_by_bedrooms(df: DataFrame, category: str | None, most: int = 8) -> DataFrame:
     return median_price_by(df.where(F.col("bedrooms") <= most), category, "bedrooms")
 
 
-def top_by_median(df: DataFrame, category: str, key: str, n: int = 10) -> DataFrame:
+def top_by_median(df: DataFrame, category: str | None, key: str, n: int = 10) -> DataFrame:
+    if category is None:
+        rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("median_price"), key))
+        ranked = median_price_by(df, None, key).dropna().withColumn("_rank", rank)
+        return ranked.where(F.col("_rank") <= n).drop("_rank")
     return top_by_metric(median_price_by(df, category, key), key, "median_price", n)
 
 

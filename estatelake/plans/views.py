@@ -14,7 +14,6 @@ from estatelake.functions.stats import group_stats
 from estatelake.operators.dedup import key_statistics
 from estatelake.operators.quality import missing_counts, range_counts
 from estatelake.schema import CATEGORY_BY_MARKET, REQUIRED_COLUMNS
-from estatelake.session import stored
 
 LOCATION = ["city", "town", "district"]
 
@@ -126,19 +125,18 @@ def vw_city_market_profile(df: DataFrame) -> DataFrame:
 def vw_market_opportunity_signals(df: DataFrame, min_group: int = 10) -> DataFrame:
     """Each listing against the median price per square metre of its category, city and type.
 
-    The medians are computed and stored first. Their size decides the join: small ones are
-    broadcast and no listing is shuffled, beyond that large groups are split (adaptive skew join).
+    Listings of groups below ``min_group``, or without a positive median, stay with the signal ``insufficient_data``. The
+    view is lazy: medians follow the listings, and the planner picks the join when it runs, from the real
+    size of the medians (adaptive execution), splitting large groups.
     """
     keys = ["category", "city", "property_type"]
     usable = df.where(F.col("price_per_sqm").isNotNull())
-    medians = group_stats(usable, keys, "price_per_sqm", {"group_median": 0.5}, count="group_listings").where(
-        (F.col("group_listings") >= min_group) & (F.col("group_median") > 0)
-    )
-    medians = stored(medians, "group-medians")
-    discount = (F.col("group_median") - F.col("price_per_sqm")) * 100.0 / F.col("group_median")
+    medians = group_stats(usable, keys, "price_per_sqm", {"group_median": 0.5}, count="group_listings")
+    enough = (F.col("group_listings") >= min_group) & (F.col("group_median") > 0)
+    discount = F.when(enough, (F.col("group_median") - F.col("price_per_sqm")) * 100.0 / F.col("group_median"))
     label = (
-        F.when(F.col("discount_pct") >= 25, "strong_opportunity").when(F.col("discount_pct") >= 10, "opportunity")
-        .when(F.col("discount_pct") > -10, "fair").otherwise("premium")
+        F.when(F.col("discount_pct").isNull(), "insufficient_data").when(F.col("discount_pct") >= 25, "strong_opportunity")
+        .when(F.col("discount_pct") >= 10, "opportunity").when(F.col("discount_pct") > -10, "fair").otherwise("premium")
     )
     return (
         usable.select("listing_id", *keys, "price_egp", "price_per_sqm").join(medians, keys)

@@ -139,13 +139,26 @@ def _city_locations(spark, d):
 
 
 @query("page_listings", """
-SELECT listing_id, category, price_egp, area_value FROM listings
+SELECT listing_id, category, price_egp, area_value, (SELECT count(*) FROM listings) AS total FROM listings
 ORDER BY listing_id, category, price_egp NULLS FIRST, area_value LIMIT 50 OFFSET 200""")
 def _page(spark, d):
     df = listings(spark, d, "listing_id", "category", "price_egp", "area_value")
     return FI.page_listings(df, 200, 50, ["listing_id", "category", "price_egp", "area_value"])
 
 
+@query("page_after", """
+, p AS (SELECT DISTINCT listing_id, category, price_egp, area_value FROM listings),
+n AS (SELECT *, row_number() OVER (ORDER BY listing_id, category, price_egp NULLS FIRST, area_value) AS place FROM p)
+SELECT listing_id, category, price_egp, area_value FROM n WHERE place BETWEEN 101 AND 150""")
+def _page_after(spark, d):
+    """The page after the last row of another page."""
+    columns = ["listing_id", "category", "price_egp", "area_value"]
+    df = listings(spark, d, *columns).distinct()
+    order = [F.col(c).asc_nulls_first() for c in columns]
+    last = df.orderBy(*order).limit(100).orderBy(*[F.col(c).desc_nulls_last() for c in columns]).first().asDict()
+    return FI.page_after(df, last, 50)
+
+
 @query("first_numeric_value", """
 SELECT price_egp AS value FROM listings WHERE price_egp IS NOT NULL ORDER BY listing_id, price_egp LIMIT 1""")
 def _first_value(spark, d):

@@ -15,12 +15,6 @@ from estatelake.sources.sample import listings, table
 MARKETS = ("buy", "rent")
 
 
-def both_markets(build) -> DataFrame:
-    """The result of ``build(category)`` for both markets, with the category as a column."""
-    parts = [build(c).select(F.lit(c).alias("category"), "*") for c in MARKETS]
-    return reduce(DataFrame.unionByName, parts)
-
-
 @query("market_overview", """
 SELECT count(*) AS total_listings,
   count(*) FILTER (category = 'buy') AS sale_listings, count(*) FILTER (category = 'rent') AS rent_listings,
@@ -56,7 +50,7 @@ SELECT category, property_type, {_PRICES}, min(price_egp) AS min_price, max(pric
 FROM listings WHERE property_type IS NOT NULL GROUP BY category, property_type""")
 def _type_prices(spark, d):
     df = listings(spark, d, "category", "property_type", "price_egp")
-    return rounded(both_markets(lambda c: M.property_type_prices(df, c)), 4, "mean_price")
+    return rounded(M.property_type_prices(df, None), 4, "mean_price")
 
 
 @query("city_prices", f"SELECT city, {_PRICES} FROM listings WHERE category = 'buy' AND city IS NOT NULL GROUP BY city")
@@ -75,14 +69,14 @@ SELECT category, bedrooms, {_PRICES} FROM listings
 WHERE bedrooms IS NOT NULL AND price_egp IS NOT NULL GROUP BY category, bedrooms""")
 def _bedroom_prices(spark, d):
     df = listings(spark, d, "category", "bedrooms", "price_egp")
-    return rounded(both_markets(lambda c: M.bedroom_prices(df, c)), 4, "mean_price")
+    return rounded(M.bedroom_prices(df, None), 4, "mean_price")
 
 
 @query("furnished_prices", f"""
 SELECT category, furnished, {_PRICES} FROM listings WHERE furnished IS NOT NULL GROUP BY category, furnished""")
 def _furnished_prices(spark, d):
     df = listings(spark, d, "category", "furnished", "price_egp")
-    return rounded(both_markets(lambda c: M.furnished_prices(df, c)), 4, "mean_price")
+    return rounded(M.furnished_prices(df, None), 4, "mean_price")
 
 
 _DESCRIBE = " UNION ALL ".join(
@@ -128,7 +122,7 @@ SELECT category, bedrooms, median(price_egp) AS median_price FROM listings
 WHERE price_egp > 0 AND bedrooms <= 8 GROUP BY category, bedrooms""")
 def _median_bedrooms(spark, d):
     df = listings(spark, d, "category", "bedrooms", "price_egp")
-    return both_markets(lambda c: M.median_price_by_bedrooms(df, c))
+    return M.median_price_by_bedrooms(df, None)
 
 
 @query("log_price_histogram", """, x AS (SELECT category, ln(1 + price_egp) AS x FROM listings WHERE price_egp > 0),
@@ -195,13 +189,13 @@ def _top_median_sql(key: str) -> str:
 @query("top_cities_by_median", _top_median_sql("city"))
 def _top_cities_median(spark, d):
     df = listings(spark, d, "category", "city", "price_egp")
-    return both_markets(lambda c: M.top_by_median(df, c, "city"))
+    return M.top_by_median(df, None, "city")
 
 
 @query("top_types_by_median", _top_median_sql("property_type"))
 def _top_types_median(spark, d):
     df = listings(spark, d, "category", "property_type", "price_egp")
-    return both_markets(lambda c: M.top_by_median(df, c, "property_type"))
+    return M.top_by_median(df, None, "property_type")
 
 
 @query("top_by_metric", """

@@ -64,11 +64,12 @@ def _cities(spark, d):
 
 @query("vw_market_opportunity_signals", """, m AS (SELECT category, city, property_type, median(price_per_sqm) AS group_median
   FROM listings WHERE price_per_sqm IS NOT NULL AND city IS NOT NULL AND property_type IS NOT NULL
-  GROUP BY ALL HAVING count(*) >= 10 AND median(price_per_sqm) > 0),
+  GROUP BY ALL),
+e AS (SELECT category, city, property_type FROM listings WHERE price_per_sqm IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
 s AS (SELECT listing_id, category, city, property_type, price_egp, price_per_sqm, group_median,
-  (group_median - price_per_sqm) * 100.0::DOUBLE / group_median AS discount_pct
+  CASE WHEN group_median > 0 AND (category, city, property_type) IN (SELECT (category, city, property_type) FROM e) THEN (group_median - price_per_sqm) * 100.0::DOUBLE / group_median END AS discount_pct
   FROM listings JOIN m USING (category, city, property_type) WHERE price_per_sqm IS NOT NULL)
-SELECT * REPLACE (round(discount_pct, 6) AS discount_pct), CASE WHEN discount_pct >= 25 THEN 'strong_opportunity'
+SELECT * REPLACE (round(discount_pct, 6) AS discount_pct), CASE WHEN discount_pct IS NULL THEN 'insufficient_data' WHEN discount_pct >= 25 THEN 'strong_opportunity'
   WHEN discount_pct >= 10 THEN 'opportunity' WHEN discount_pct > -10 THEN 'fair' ELSE 'premium' END AS signal FROM s""")
 def _signals(spark, d):
     df = listings(spark, d, "listing_id", "category", "city", "property_type", "price_egp", "price_per_sqm")

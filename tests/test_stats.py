@@ -97,3 +97,13 @@ def test_histogram_has_fifty_bins_at_most(frame):
 def test_top_values_break_ties_by_name(frame):
     df = frame("city string", [("b",), ("a",), ("c",), ("c",)])
     assert [r[0] for r in M.top_values(df, "city", 2).collect()] == ["c", "a"]
+
+
+def test_small_values_spread_over_buckets(spark):
+    from estatelake.functions.stats import _bucket
+
+    small = spark.range(1, 100_001).select((F.col("id") / 1e12).alias("v"))
+    assert small.select(_bucket(F.col("v"))).distinct().count() > 10_000
+    far = spark.range(1_000).select((F.col("id") * 1e300).alias("v")).union(spark.range(1_000).select((-F.col("id") * 1e-300).alias("v")))
+    pairs = far.orderBy("v").select("v", _bucket(F.col("v")).alias("b")).collect()
+    assert [r["b"] for r in pairs] == sorted(r["b"] for r in pairs) and len({r["b"] for r in pairs}) > 1_500
