@@ -26,7 +26,7 @@ TOP = 400
 ROWS_PER_LANGUAGE = 5_000
 UNDETERMINED = "und"
 NONE = 0x1FFFFF  # stands for "no further letter"; above every code point
-_BYTES, _ROWS = 2 << 20, 512
+_BYTES, _ROWS = 1 << 20, 512
 
 
 @lru_cache(maxsize=1)

@@ -8,12 +8,12 @@ Documents are sets of word shingles; two documents link when ``intersection / un
    least m - k of their tokens are equal. Single shingles would be tokens too, but one frequent passage would
    then make a matrix row as long as the corpus; a token of a range is shared by near copies only. m and k
    follow from a size class, and a set also takes the tokens of the next class if a partner may lie there.
-   Tokens of nearly empty ranges are left out while fewer than m - k of them are (all are kept otherwise).
+   Of the at least m - k tokens that partners share, each may leave out its m - k - 1 most widely held ones
+   (empty ranges, ranges with one frequent shingle) and still shares another one: those go, by their real counts.
 3. Classes whose most widely shared token is the same form a group; one of more than ``GROUP`` classes or
    ``GROUP_SHINGLES`` shingles is dealt into parts by a hash. The matrix has a row (token, group) for the union of each
    group's tokens.
-4. Two groups whose unions overlap less than m - k (less the left-out tokens) hold no pair; the others
-   are opened. In an opened pair the same bound on shingles (overlap of a set with the union of the other group)
+4. Two groups whose unions of the remaining tokens do not overlap hold no pair; the others are opened. In an opened pair the same bound on shingles (overlap of a set with the union of the other group)
    thins the sets out before sets are compared exactly.
 
 No link is lost: the bounds are upper bounds, nothing is capped. The output of an opened pair is a spanning
@@ -36,8 +36,6 @@ from estatelake.session import stored
 
 GROUP = 256
 GROUP_SHINGLES = 200_000
-#: fewest shingles in a range whose token is worth a matrix row
-LIGHT = 3
 #: ids up to this many are broadcast (8 bytes each); beyond, both sides are shuffled
 BROADCAST_IDS = 1_000_000
 
@@ -58,7 +56,7 @@ class _Plan:
             top = self.low[c + 1] - 1 if c + 1 < len(self.low) else -(-3 * self.low[c] // 2) - 1
             k = 2 * max(top, self.low[c]) * (self.den - self.num) // (self.den + self.num)
             if k:
-                yield c, k + 2 + -(-k // 10), k
+                yield c, k + 2 + -(-k // 5), k
             c += 1
             if c == len(self.low):
                 break
@@ -69,47 +67,48 @@ def _edges(m: int) -> np.ndarray:
     return np.array([(i << 64) // m for i in range(1, m)], U)
 
 
-def _tokens(s: np.ndarray, plan: _Plan) -> tuple[list[np.ndarray], int]:
-    """Set tokens of a sorted set, own size class first, and how many of them a partner shares at least."""
+def _tokens(s: np.ndarray, plan: _Plan) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(class, set tokens, how many of them a partner shares at least) of a sorted set, own size class first."""
     sums = np.zeros(len(s) + 1, U)
     np.cumsum(mix(s + U(11)), out=sums[1:])
-    out, need = [], 1 << 30
     for c, m, k in plan.classes(len(s)):
         cut = np.concatenate(([0], np.searchsorted(s, _edges(m)), [len(s)]))
-        token = mix(sums[cut[1:]] - sums[cut[:-1]] + np.arange(m, dtype=U) * U(0xA24BAED4963EE407) + np.full(1, c, U) * U(0x9FB21C651E98DF25))
-        light = np.diff(cut) < LIGHT
-        if (lost := int(light.sum())) < m - k:
-            token = token[~light]
-        else:
-            lost = 0
-        out.append(token)
-        need = min(need, m - k - lost)
-    return out, need
+        yield c, mix(sums[cut[1:]] - sums[cut[:-1]] + np.arange(m, dtype=U) * U(0xA24BAED4963EE407) + np.full(1, c, U) * U(0x9FB21C651E98DF25)), m - k
 
 
-SIGNED = "doc_id long, n long, h1 long, h2 long, need int, tokens array<long>"
+SIGNED = "doc_id long, n long, h1 long, h2 long"
+TOKENS = "token long, doc_id long, class int, need int"
 
 
-def _signed(size: int, num: int, den: int):
+def _signed(size: int):
+    """Rows (doc_id, text) to the size of the set and 128 bits that stand for it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = _Plan(num, den)
         for batch in batches:
-            n, h1, h2, need, tokens, ends = [], [], [], [], [], [0]
+            n, h1, h2 = [], [], []
             for s in shingle_sets(batch.column(1), size):
-                found, least = _tokens(s, plan)
                 g = mix(s + U(23))
                 n.append(len(s))
                 h1.append(int(g.sum()) if len(s) else 0)
                 h2.append(int(mix(g + U(5)).sum()) if len(s) else 0)
-                need.append(least)
-                tokens += found
-                ends.append(ends[-1] + sum(map(len, found)))
-            flat = np.concatenate([np.zeros(0, U), *tokens]).view(np.int64)
             signed = lambda x: pa.array(np.array(x, U).view(np.int64))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), signed(h1), signed(h2), pa.array(need, pa.int32()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-            ], names=["doc_id", "n", "h1", "h2", "need", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), signed(h1), signed(h2)], names=["doc_id", "n", "h1", "h2"])
+
+    return run
+
+
+def _token_rows(size: int, num: int, den: int):
+    """Rows (doc_id, text) to a row for each set token."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = _Plan(num, den)
+        for batch in batches:
+            tokens, ids, classes, needs = [np.zeros(0, U)], [], [], []
+            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size)):
+                for c, found, need in _tokens(s, plan) if len(s) else ():
+                    tokens.append(found)
+                    ids.append(i), classes.append(c), needs.append(need)
+            counts = [len(t) for t in tokens[1:]]
+            spread = lambda x, kind: pa.array(np.repeat(np.array(x, np.int64), counts), kind)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), spread(ids, pa.int64()), spread(classes, pa.int32()), spread(needs, pa.int32())], names=["token", "doc_id", "class", "need"])
 
     return run
 
@@ -168,7 +167,8 @@ def _opened(size: int, num: int, den: int):
         group: list = []
 
         def closed():
-            sides, ids, copies, sets = zip(*group)
+            # a row that occurs twice is one node
+            sides, ids, copies, sets = zip(*{(i, s.tobytes()): (side, i, c, s) for side, i, c, s in group}.values())
             forest, degrees = links(np.array(ids), np.array(copies), list(sets), np.array(sides))
             kinds = [0] * len(forest) + [1] * len(degrees)
             both = forest + degrees
@@ -204,22 +204,23 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(texts.mapInArrow(_signed(size, num, den), SIGNED), "shingle-sets")
+    signed = stored(texts.mapInArrow(_signed(size), SIGNED), "shingle-sets")
     key = ["n", "h1", "h2"]
     classes = stored(signed.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
 
-    one = signed.where("size(tokens) > 0").join(classes, [*key, "doc_id"]).dropDuplicates(["doc_id", *key]).select("doc_id", "n", "copies", "need", "tokens")
-    one = stored(one, "classes-with-tokens")
-    by_token = one.select(F.explode("tokens").alias("token"), "doc_id", "need").repartition("token")
-    shared = stored(by_token.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1"), "shared-tokens")
-    part = shared.groupBy("doc_id").agg(F.max(F.struct("held", "token"))["token"].alias("part")).join(one.select("doc_id", "n", "copies"), "doc_id")
+    # texts are read again rather than tokens kept: these are several times as large as what is shared in the end
+    by_token = _only(texts, classes.select("doc_id")).select("doc_id", "text").mapInArrow(_token_rows(size, num, den), TOKENS).repartition("token")
+    held = stored(by_token.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1"), "shared-tokens")
+    # partners share m - k tokens of a class, so each may leave out its m - k - 1 most widely held ones and still shares one
+    rank = F.row_number().over(Window.partitionBy("doc_id", "class").orderBy(F.desc("held"), "token"))
+    shared = stored(held.withColumn("rank", rank).where("rank >= need").select("token", "doc_id", "held"), "wanted-tokens")
+    part = shared.groupBy("doc_id").agg(F.max(F.struct("held", "token"))["token"].alias("part")).join(classes.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("copies").alias("copies")), "doc_id")
     large = part.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts")).where("parts > 1")
     grp = F.xxhash64("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(0))
     members = stored(part.join(large, "part", "left").select(grp.alias("grp"), "doc_id", "copies"), "members")
-    matrix = stored(shared.join(members, "doc_id").groupBy("token", "grp").agg(F.min("need").alias("need")), "matrix")
+    matrix = stored(shared.join(members, "doc_id").select("token", "grp").distinct(), "matrix")
     overlap = matrix.alias("x").join(matrix.alias("y"), F.expr("x.token = y.token and x.grp < y.grp"))\
-        .select(F.col("x.grp").alias("a"), F.col("y.grp").alias("b"), F.greatest("x.need", "y.need").alias("need"))\
-        .groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("a", "b")
+        .select(F.col("x.grp").alias("a"), F.col("y.grp").alias("b")).distinct()
     alone = members.groupBy("grp").count().where("count > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
     pairs = stored(overlap.union(alone), "group-pairs")
     sides = pairs.select("a", "b", F.col("a").alias("grp"), F.lit(0).alias("side")).union(pairs.where("a != b").select("a", "b", F.col("b").alias("grp"), F.lit(1).alias("side")))
