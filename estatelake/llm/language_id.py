@@ -149,7 +149,8 @@ def language_column(profiles: pd.DataFrame, top: int = TOP):
         return pa.StructArray.from_arrays([pa.array([UNDETERMINED] * len(text), pa.string()), pa.array([0.0] * len(text), pa.float64())], names=["lang_pred", "score"])
 
     fn = predicted if len(names) else undetermined
-    return F.arrow_udf(fn, "lang_pred string, score double")
+    # marked so that a filter on the result does not make the planner run it twice, with two Python workers a task
+    return F.arrow_udf(fn, "lang_pred string, score double").asNondeterministic()
 
 
 def held_out(id_col: str = "doc_id"):
