@@ -1,7 +1,8 @@
 """Secrets in texts: candidates by form, false positives removed by a random forest.
 
 A candidate is a value that is assigned to a name (``name = "value"``), a long run of key characters with a
-digit or mixed case, or the head of a private key. What it is cannot be told from its form alone, so a forest
+digit or mixed case, or a private key from its BEGIN to its END line. Values that are URLs are cut at their delimiters, and runs
+inside an assigned value that is judged harmless are judged by themselves. What it is cannot be told from its form alone, so a forest
 judges it by its length, its changes between character classes, how much of it dictionary words cover, the
 path of the document and the words around it. The forest is MLlib's, trained from a table of labelled findings;
 its trees are read from the saved model once and applied to whole Arrow batches, so that texts stay where they are.
@@ -11,7 +12,9 @@ from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_right
 from collections import Counter
+from itertools import chain
 from math import log2
 
 import numpy as np
@@ -33,7 +36,12 @@ THRESHOLD = 0.5
 ASSIGNED = re.compile(r"[=:][ \t]{0,3}([\"']?)([^\s\"',;]{6,})")
 NAME = re.compile(r"([A-Za-z][A-Za-z0-9_-]{1,40})[\"']?[ \t]{0,3}$")
 RUN = re.compile(r"[A-Za-z0-9+/_.~-]{12,}={0,2}")
-KEY_HEAD = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
+KEY_HEAD = re.compile(r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----")
+KEY_END = re.compile(r"-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----")
+#: header and base64 lines; line ends may be written as ``\n`` or as spaces
+KEY_LINES = re.compile(r"(?:(?:\s|\\[nr])+(?:[A-Za-z][A-Za-z0-9-]{1,30}: [^\n]*(?=\n)|[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]{2,15}={1,2}|(?:[A-Za-z0-9+/]{4}){1,3}(?=[ \t]*(?:\r?\n|\\n|\Z))))*")
+SCHEME = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]{0,20}:)?//")
+PATH_PART, QUERY_PART = re.compile(r"[^?&=:@/#;]{6,}"), re.compile(r"[^?&=:@#;]{6,}")
 MIXED = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]")
 WORD = re.compile(r"[^\W\d_]+")
 TRIM = ".,-~/_"
@@ -50,32 +58,68 @@ NEAR = 60  # characters before and after a candidate in which neighbouring words
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind), without overlaps, in order."""
-    out = []
+    """(start, end, kind), in order; only the runs inside an assigned value overlap with another, which comes before them."""
+    heads = list(KEY_HEAD.finditer(text))
+    keys = []
+    for m, limit in zip(heads, [*(n.start() for n in heads[1:]), len(text)]):
+        end = KEY_END.search(text, m.end(), limit) or KEY_LINES.match(text, m.end(), limit)
+        keys.append((m.start(), end.end(), "private_key"))
+    starts = [a for a, _, _ in keys]
+
+    def in_key(a: int) -> bool:
+        k = bisect_right(starts, a) - 1
+        return k >= 0 and a < keys[k][1]
+
+    def has_form(v: str) -> bool:
+        return any(c.isdigit() for c in v) or bool(MIXED.search(v))
+
+    out, urls = [], []
     for m in ASSIGNED.finditer(text):
-        if NAME.search(text, max(0, m.start() - 45), m.start()):
-            a, b = m.span(2)
+        name = NAME.search(text, max(0, m.start() - 45), m.start())
+        a, b = m.span(2)
+        if SCHEME.match(text, a, b):
+            urls.append((a, b))
+            continue
+        if name and not in_key(a):
             while b > a and text[b - 1] in ".)]}":
                 b -= 1
             out.append((a, b, "assigned"))
     taken = []
-    spans = iter([*out, (len(text) + 1, len(text) + 1, "")])
-    nxt = next(spans)
+    for a, b in urls:
+        at = text.index("//", a, b) + 2
+        path = next((k for k in range(at, b) if text[k] in "/?#"), b)
+        query = next((k for k in range(path, b) if text[k] in "?#"), b)
+        login = text.rfind("@", at, path)
+        for m in chain(PATH_PART.finditer(text, at, path), PATH_PART.finditer(text, path, query), QUERY_PART.finditer(text, query, b)):
+            x, y = m.span()
+            while y > x and text[y - 1] in ".)]}":
+                y -= 1
+            if y - x < 6 or in_key(x):
+                continue
+            if text[x - 1] == "=" or login >= y and text[x - 1] == ":":
+                out.append((x, y, "assigned"))
+            elif login >= y or y - x >= 12 and has_form(text[x:y]) and not at <= x < path:
+                taken.append((x, y, "run"))
+    values = sorted(out)
+    value_starts = [a for a, _, _ in values]
+    url_starts = [a for a, _ in urls]
     for m in RUN.finditer(text):
-        v = m.group()
-        if not (any(c.isdigit() for c in v) or MIXED.search(v)):
+        if not has_form(m.group()):
             continue
         a, b = m.span()
+        k = bisect_right(url_starts, a) - 1
+        if in_key(a) or k >= 0 and a < urls[k][1]:
+            continue
         while b > a and text[b - 1] in TRIM:
             b -= 1
         while a < b and text[a] in TRIM:
             a += 1
-        while nxt[1] <= a:
-            nxt = next(spans)
-        if b - a >= 12 and nxt[0] >= b:
+        k = bisect_right(value_starts, a) - 1
+        inside = k >= 0 and a < values[k][1]
+        if b - a >= 12 and not (inside and a == values[k][0] and b >= values[k][1]):
             taken.append((a, b, "run"))
-    taken += [(m.start(), m.end(), "private_key") for m in KEY_HEAD.finditer(text)]
-    return sorted({(a, b): (a, b, k) for a, b, k in [*out, *taken] if b - a >= 6}.values())
+    found = {(a, b): (a, b, k) for a, b, k in [*taken, *out, *keys] if b - a >= 6}
+    return sorted(found.values(), key=lambda c: (c[0], -c[1]))
 
 
 def _classes(value: str) -> str:
@@ -125,13 +169,14 @@ def made_findings(rows: int = FINDINGS, seed: int = SEED) -> pd.DataFrame:
     word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 5))))
     prose = lambda: " ".join(word() for _ in range(int(rng.integers(3, 9))))
     quote = lambda v, q: (q, v, q)
+    address = lambda: f"{pick(['https', 'http'])}://{word()}.{pick(['example.com', 'org', 'net'])}/{word()}"
     paths = ["src0", "src7", "app/settings.py", "config/prod.env", "notes.txt", "deploy/values.yaml", "tests/fixtures/a.json", "docs/example.md", ""]
     out = []
     for i in range(rows):
         q, glue, name = pick(["", '"', "'"]), pick(["=", " = ", ": "]), pick(["password", "passwd", "token", "secret", "api_key", "auth_token", "access_key", "client_secret", "DB_PASSWORD"])
         path = pick(paths)
         if i % 2:
-            kind = int(rng.integers(6))
+            kind = int(rng.integers(9))
             if kind == 0:
                 b, v, a = quote(some(hexa, int(rng.choice([16, 18, 20, 32, 40, 64]))), q)
                 b = f"{name}{glue}{b}"
@@ -144,11 +189,24 @@ def made_findings(rows: int = FINDINGS, seed: int = SEED) -> pd.DataFrame:
                 b, v, a = quote(pick(["ghp_", "xoxb-", "sk_live_", "AIza", "glpat-", "npm_"]) + some(alnum, int(rng.integers(20, 40))), q)
             elif kind == 4:
                 b, v, a = f"{name}{glue}", some(alnum + "!$%^*", int(rng.integers(8, 20))) + pick("0123456789"), ""
-            else:
+            elif kind == 5:
                 b, v, a = f"{name}{glue}{q}", some(base64, int(rng.choice([40, 44, 64]))), q
+            elif kind == 6:
+                v = pick([pick(["ghp_", "sk_live_", "AIza", "npm_"]) + some(alnum, int(rng.integers(20, 40))), some(alnum, int(rng.integers(16, 44))), some(hexa, int(rng.choice([32, 40])))])
+                b, a = f"{address()}{pick(['?', f'?{word()}={word()}&'])}{pick(['access_token', 'token', 'api_key', 'key', 'auth', 'secret'])}=", pick(["", f"&{word()}={word()}"])
+            elif kind == 7:
+                v = pick([pick(["ghp_", "glpat-"]) + some(alnum, int(rng.integers(20, 40))), some(alnum, int(rng.integers(10, 30)))])
+                b, a = f"{pick(['https', 'http', 'postgres', 'redis', 'amqp'])}://{pick([word(), 'user', 'admin', ''])}:", f"@{word()}.example.com/{word()}"
+                if rng.integers(4) == 0:
+                    b, v = "https://", pick(["ghp_", "glpat-"]) + some(alnum, int(rng.integers(20, 40)))
+            else:
+                body = some(base64, int(rng.integers(60, 1700)))
+                kind, line = pick(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]), pick(["\n", "\n", " ", "\\n"])
+                v = line.join([f"-----BEGIN {kind}PRIVATE KEY-----", *(body[k: k + 64] for k in range(0, len(body), 64)), *pick([[f"-----END {kind}PRIVATE KEY-----"], []])])
+                b, a = pick(["", f"{name}{glue}{q}"]), ""
             label = 1
         else:
-            kind = int(rng.integers(10))
+            kind = int(rng.integers(12))
             if kind == 0:
                 b, v, a = f"{pick(['commit', 'sha', 'checksum', 'digest', 'build', 'etag', 'revision'])}{pick([' ', ': ', '='])}", some(hexa, int(rng.choice([32, 40, 64]))), ""
             elif kind == 1:
@@ -167,6 +225,12 @@ def made_findings(rows: int = FINDINGS, seed: int = SEED) -> pd.DataFrame:
                 b, v, a = f"{word()}{glue}", pick([prose().replace(" ", "_"), word() + word(), some(string.digits, 8)]), ""
             elif kind == 8:
                 b, v, a = "", f"{word()}.{some(string.digits, 2)}", f"@{word()}.example.com"
+            elif kind == 9:
+                b, v, a = f"{address()}?{pick(['id', 'page', 'ref', 'q', 'utm_source', 'lang', 'v', word()])}=", pick([some(string.digits, int(rng.integers(6, 14))), word() + word(), f"{word()}-{word()}", f"{word()}{some(string.digits, 3)}"]), pick(["", f"&{word()}={word()}"])
+            elif kind == 10:
+                b, v, a = pick([(f"{address()}/", pick([f"{word()}-{word()}-{some(string.digits, 5)}", some(hexa, 40), f"{word()}{some(string.digits, 8)}.html"]), ""),
+                                (f"https://{word()}:", pick(["password", "<password>", "xxxxxxxx", "changeme", "${TOKEN}", "your_token"]), f"@{word()}.example.com"),
+                                (f"{address()}?token=", pick(["xxxxxxxxxxxx", "your_token_here", "<token>", "${TOKEN}", "{{token}}"]), "")])
             else:
                 b, v, a = "", "-".join(word() for _ in range(4)) + pick(["", "-2024", "-v2.0.1"]), ""
             label = 0
@@ -237,7 +301,13 @@ def _judged(forest: Forest, words: frozenset[str], threshold: float, texts: list
     p = forest.probability(np.array(x)) if x else np.zeros(0)
     out, k = [], 0
     for spans in found:
-        out.append((len(spans), [(a, b, kind, float(q)) for (a, b, kind), q in zip(spans, p[k: k + len(spans)]) if q >= threshold]))
+        secrets, end = [], 0
+        for (a, b, kind), q in zip(spans, p[k: k + len(spans)]):
+            # runs inside a value count only where the value itself is none
+            if q >= threshold and a >= end:
+                secrets.append((a, b, kind, float(q)))
+                end = b
+        out.append((len(spans), secrets))
         k += len(spans)
     return out
 
