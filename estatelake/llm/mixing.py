@@ -85,17 +85,11 @@ def _plan(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"nameless": rows["nameless"], "name": rows["name"], "size": rows["size"], "n": rows["n"], "source_size": whole, "target": target, "times": times, "extra": extra})
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, times, taken (= times * size).
-
-    Sources in code-point order, null last, get the weights in turn and share the words of all documents by
-    weight; a target stops at ``cap`` times its source's words and the excess is shared out again. A document without
-    words is taken as often as its whole source is. A source without words has the target 0. An empty table
-    gives no rows. Reruns agree; of equal rows it does not matter which is taken.
-    """
+def _taken(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """One row per row of ``docs``: doc_id, nameless, name, content (hash of the text), size, source_size, target, times."""
     if cap != CAP:
         raise ValueError(f"the plan is made for a cap of {CAP}")
-    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).isNull().alias("nameless"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"), words_in(F.col(text_col)).alias("size")), "sizes")
+    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).isNull().alias("nameless"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"), F.xxhash64(F.col(text_col)).alias("content"), words_in(F.col(text_col)).alias("size")), "sizes")
     key = ["nameless", "name", "size"]
     counts = stored(sized.groupBy(*key).agg(F.count("*").alias("n")), "sizes-counted")
     # one row per source from here: a closed set of labels
@@ -111,19 +105,44 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     plan = counts.join(targets, ["nameless", "name"]).groupBy("nameless", "name").applyInPandas(_plan, "nameless boolean, name string, size long, n long, source_size long, target double, times long, extra long")
     plan = stored(plan, "mixing-plan")
     # a length with many documents is ranked in buckets of its hash, with the counts of the buckets before
-    row = F.xxhash64("doc_id", F.lit(seed))
+    row = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), "content"), F.lit(seed))
     dealt = sized.join(plan, key).withColumn("row", row).withColumn("bucket", F.pmod("row", F.ceil(F.col("n") / BUCKET)))
     part = [*key, "bucket"]
     ahead = dealt.where(F.col("n") > BUCKET).groupBy(*part).agg(F.count("*").alias("here"))
     ahead = ahead.withColumn("ahead", F.sum("here").over(Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("here")
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy("row", "doc_id")) + F.coalesce("ahead", F.lit(0))
+    rank = F.row_number().over(Window.partitionBy(*part).orderBy("row", "doc_id", "content")) + F.coalesce("ahead", F.lit(0))
     ranked = dealt.join(ahead, part, "left").withColumn("times", F.col("times") + (rank <= F.col("extra")).cast("long"))
-    return ranked.select("doc_id", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+    return ranked.select("doc_id", "nameless", "name", "content", "size", "source_size", "target", "times")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, times, taken (= times * size).
+
+    Sources in code-point order, null last, get the weights in turn and share the words of all documents by
+    weight; a target stops at ``cap`` times its source's words and the excess is shared out again. A document without
+    words is taken as often as its whole source is. A source without words has the target 0. An empty table
+    gives no rows. Reruns agree; of equal rows it does not matter which is taken.
+    """
+    taken = _taken(docs, weights, cap, seed, id_col, text_col, source_col)
+    return taken.select("doc_id", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; rows that share an id are taken as often as the most of them."""
-    times = stored(mix(docs, **options).where("times > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("times").alias("_times")), "mixed-ids")
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, rows without an id too.
+
+    Rows are found again by id, source and a hash of the text; of rows that agree in these it does not matter which is taken once more.
+    """
+    key = ["_id", "_nameless", "_name", "_content"]
+    times = _taken(docs, weights, cap, seed, id_col, text_col, source_col).groupBy(*(F.col(c[1:] if c != "_id" else "doc_id").alias(c) for c in key))\
+        .agg(F.min("times").alias("_times"), (F.sum("times") - F.count("*") * F.min("times")).alias("_more"), F.count("*").alias("_rows"))
+    # rows of one source and length differ by one repetition at most
+    times = stored(times.where("_times > 0 or _more > 0"), "mixed-rows")
     if times.count() <= BROADCAST_IDS:
         times = F.broadcast(times)
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    marked = docs.withColumns({"_i": F.col(id_col), "_n": F.col(source_col).isNull(), "_s": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "_c": F.xxhash64(F.col(text_col))})
+    found = marked.join(times, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_nameless")) & (F.col("_s") == F.col("_name")) & (F.col("_c") == F.col("_content")))
+    some = (F.col("_more") > 0) & (F.col("_more") < F.col("_rows"))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    even = found.where(~some).withColumn("_times", F.col("_times") + (F.col("_more") > 0).cast("long"))
+    uneven = found.where(some).withColumn("_times", F.col("_times") + (number <= F.col("_more")).cast("long")).where("_times > 0")
+    return even.unionByName(uneven).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)

@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estatelake.llm.components import components
@@ -242,18 +242,34 @@ def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def row_key() -> Column:
+    """64 bits for a row's id and text: rows that share an id but not their text are nodes of their own."""
+    return F.xxhash64("doc_id", "text")
+
+
+def row_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(row, component): one row per distinct id and text of ``docs``; ``row`` is ``row_key``. Null ids take part."""
+    marked = jaccard_classes(docs.select(row_key().alias("_row"), "text"), size, num, den, id_col="_row")
+    return marked.groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("component"))
+
+
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with the smallest-id row of each component, with all its columns.
 
-    Rows without an id or without words stay. Of rows that share an id, the least row (by its columns in order) stays.
+    Rows without an id or without words stay. Rows that share an id go together only if their texts link. Of rows that share
+    id and text, and of the least id's texts in a component, one stays.
     """
-    marked = jaccard_classes(docs, size, num, den)
-    kept = stored(marked.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows_of_id")), "kept-ids")
+    named = docs.where("doc_id is not null")
+    component = row_components(named, size, num, den)
+    ids = named.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("id")).groupBy("row").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
+    kept = ids.join(component, "row").groupBy("component").agg(F.min(F.struct("id", "row", "rows")).alias("r")).select("r.row", "r.rows")
+    kept = stored(kept, "kept-rows")
     rest = docs.where("doc_id is null")
-    once = docs.join(kept.where("rows_of_id = 1").select("doc_id"), "doc_id", "left_semi")
+    marked = named.withColumn("_row", row_key())
+    once = marked.join(kept.where("rows = 1").select(F.col("row").alias("_row")), "_row", "left_semi").select(*docs.columns)
     out = once.unionByName(rest)
-    again = kept.where("rows_of_id > 1").select("doc_id")
+    again = kept.where("rows > 1").select(F.col("row").alias("_row"))
     if again.head(1):
         row = F.struct(*docs.columns)
-        out = out.unionByName(docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("r")).select("r.*"))
+        out = out.unionByName(marked.join(again, "_row", "left_semi").groupBy("_row").agg(F.min(row).alias("r")).select("r.*"))
     return out

@@ -86,3 +86,19 @@ def test_edge_rows(spark, documents):
     silent = mix(documents([(1, None), (2, "  ")])).collect()
     assert [(r["target"], r["taken"]) for r in silent] == [(0.0, 0)] * 2
     assert mix(documents([])).count() == 0
+
+
+def test_rows_without_an_id_and_with_a_repeated_one_are_mixed(spark, documents):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{rng.integers(99)}" for _ in range(int(rng.integers(1, 30)))) for _ in range(60)]
+    a = documents([(None, t) for t in texts] + [(7, t) for t in texts[:20]] + [(None, "same text")] * 9, source="a")
+    docs = a.union(documents([(100 + i, t) for i, t in enumerate(texts)], source="b")).union(documents([(None, t) for t in texts[:5]], source=None))
+    want, got = {}, {}
+    for r in mix(docs).collect():
+        want[r["doc_id"], r["size"], r["target"]] = want.get((r["doc_id"], r["size"], r["target"]), 0) + r["taken"]
+    target = {s: t for s, t in zip(("a", "b", None), sorted({r[2] for r in want}, reverse=True))}
+    for r in mixed(docs).collect():
+        k = (r["doc_id"], len(r["text"].split()), target[r["source"]])
+        got[k] = got.get(k, 0) + k[1]
+    assert got == {k: v for k, v in want.items() if v}
+    assert any(k[0] is None for k in got)

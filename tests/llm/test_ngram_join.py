@@ -83,3 +83,10 @@ def test_edge_rows(spark, documents):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 9]
     assert kept.columns == documents([]).columns
     assert ngram_join.jaccard_classes(documents([])).count() == 0
+
+
+def test_rows_that_share_an_id_but_not_their_text_stay(spark, documents):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, long), (1, "quite another text of the very same id"), (2, long), (2, "a third text that nobody else has"), (3, "quite another text of the very same id"), (None, long), (4, long), (4, long)]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in ngram_join.keep_one(documents(rows)).collect())
+    assert got == sorted([(1, long), (1, rows[1][1]), (2, rows[3][1]), (0, long)])
