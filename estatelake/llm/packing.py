@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from estatelake.llm.mixing import words_in
+from estatelake.llm.ngram_join import row_components, row_key
 from estatelake.session import stored
 
 CAPACITY = 2048
@@ -108,9 +109,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     empty table gives none. Shards hold about ``shard_rows`` rows; a hot source or cluster is spread over all of them.
     """
     cluster = F.xxhash64(F.col(text_col)) if cluster_col is None else F.col(cluster_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), words_in(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))).alias("content"), words_in(F.col(text_col)).alias("size"))
     rows = stored(rows, "packing-sizes")
     shards = max(1, -(-rows.count() // shard_rows))
     # without repeated copies of one row in mind, an id alone would do; a null id is dealt by its content
-    shard = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("cluster").cast("string"))), F.lit(shards))
+    shard = F.pmod(F.xxhash64("doc_id", "content"), F.lit(shards))
     return rows.withColumn("shard", shard).groupBy("shard").applyInPandas(_pack(capacity, per_source), OUT)
+
+
+def pack_apart(docs: DataFrame, **options) -> DataFrame:
+    """``pack`` with near copies (five-word shingles, similarity of 0.8) as clusters; columns doc_id, text and source."""
+    clusters = row_components(docs).select(F.col("row").alias("_row"), F.col("component").alias("_component"))
+    marked = docs.select("doc_id", "text", "source").withColumn("_row", row_key()).join(clusters, "_row", "left")
+    return pack(marked, cluster_col="_component", **options)

@@ -65,9 +65,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from estatelake.llm.packing import pack
+    from estatelake.llm.packing import pack_apart
 
-    return pack(table(spark, sf_dir, "documents"))
+    return pack_apart(table(spark, sf_dir, "documents"))
 
 
 def _url_sql() -> str:

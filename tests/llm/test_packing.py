@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from estatelake.llm.packing import Bins, pack
+from estatelake.llm.packing import Bins, pack, pack_apart
 
 
 def test_best_fit_equals_a_plain_search():
@@ -52,3 +52,13 @@ def test_edge_rows(spark, documents):
     assert by[3, 0, 0]["bin"] != by[3, 1, 0]["bin"]
     assert [by[4, 0, k]["n_words"] for k in range(5)] == [2048] * 4 + [808]
     assert len(out) == 11 and pack(documents([])).count() == 0
+
+
+def test_near_copies_never_share_a_bin(spark, documents):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(12)] + [(50, " ".join([*base, "other"])), (50, "short text"), (None, " ".join([*base, "last"]))]
+    rows += [(100 + i, f"x{i} y{i} z{i}") for i in range(30)]
+    out = pack_apart(documents(rows, source=None), capacity=400, per_source=99).collect()
+    bins = [r["bin"] for r in out if r["n_words"] == 61]
+    assert len(bins) == 14 and len(set(bins)) == 14
+    assert sum(r["n_words"] for r in out) == 14 * 61 + 2 + 90
