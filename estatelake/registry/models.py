@@ -15,7 +15,7 @@ from estatelake.schema import OFFERING_BY_MARKET
 from estatelake.session import work_dir
 from estatelake.sources.sample import listings, table
 
-# The number of trees and rounds is the one thing that is smaller than in production; rows, models, refits and limits are as there.
+# Smaller than in production: trees, depths, rounds, patience, final rounds and bins, and the rate is higher (README, Models). Rows, models and refits are as there.
 SMALL = T.TreeSettings(market_trees={"sale": 8, "rent": 8}, family_trees=8, tree_depth=8, boost_rounds=6,
                        boost_depth=4, boost_rate=0.3, patience=3, min_final_rounds=6, bins=32)
 QUALIFIED = [("sale", "economy"), ("sale", "standard"), ("sale", "medium"), ("rent", "large"), ("rent", "small")]
