@@ -122,3 +122,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estatelake.llm.personal_data import find
 
     return find(table(spark, sf_dir, "documents"))
+
+
+@query("op11_bpe_automaton")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from estatelake.llm.bpe_automaton import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
