@@ -131,3 +131,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estatelake.llm.bpe_automaton import digests
 
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op13_word_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estatelake.llm.word_runs import describe
+
+    return describe(table(spark, sf_dir, "documents"))
