@@ -138,3 +138,27 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from estatelake.llm.word_runs import describe
 
     return describe(table(spark, sf_dir, "documents"))
+
+
+_LEXICAL_SQL = r"""
+    with texts as (
+        select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms, row_number() over () as row
+        from documents where text is not null),
+    total as (select count_if(len(terms) > 0) as docs, sum(len(terms))::bigint as words from texts),
+    tf as (select row, doc_id, len(terms) as n, term, count(*) as tf from (select row, doc_id, terms, unnest(terms) as term from texts) group by all),
+    weights as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::bigint as w from tf, total group by term, docs),
+    items as (
+        select item, item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) as term
+        from (select *, row_number() over () as item from benchmark)),
+    scored as (
+        select item, item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::bigint as score
+        from items join tf using (term) join weights using (term), total group by item, item_id, row, doc_id),
+    ranked as (select item_id, row_number() over (partition by item order by score desc, doc_id) as rank, doc_id, score from scored where score > 0)
+    select * from ranked where rank <= 10"""
+
+
+@query("op12_ball_tree_search", _LEXICAL_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from estatelake.llm.ball_tree_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
