@@ -11,13 +11,17 @@ Documents are sets of word shingles; two documents link when ``intersection / un
    Of the at least m - k tokens that partners share, each may leave out its m - k - 1 most widely held ones
    (empty ranges, ranges with one frequent shingle) and still shares another one: those go, by their real counts.
 3. Classes whose most widely shared token is the same form a group; one of more than ``GROUP`` classes or
-   ``GROUP_SHINGLES`` shingles is dealt into parts by a hash. The matrix has a row (token, group) for the union of each
-   group's tokens.
-4. Two groups whose unions of the remaining tokens do not overlap hold no pair; the others are opened. In an opened pair the same bound on shingles (overlap of a set with the union of the other group)
+   ``GROUP_SHINGLES`` shingles is dealt into parts by a hash. Every group is opened: in it, sets are compared exactly. The matrix has a
+   row (token, group) for the union of each group's tokens.
+4. Only components are asked for, and two sets of one component need no comparison. So a token all of whose holders are in one
+   component is done. For the others, *star rounds* come first: one group of each component is opened against one group
+   of the token's pivot component. A hot cluster, dealt into many groups, becomes one component in this way, with as many opened pairs as
+   groups. What then remains is compared in full: sets of small components are grouped again, and a pair of groups whose token unions
+   overlap is opened unless all their sets are in one component. In an opened pair the same bound on shingles (overlap of a set with the union of the other group)
    thins the sets out before sets are compared exactly.
 
-No link is lost: the bounds are upper bounds, nothing is capped. The output of an opened pair is a spanning
-forest of its links and the number of links per class, never the list of all pairs.
+No link between components is lost: the bounds are upper bounds, nothing is capped. The output of an opened pair is a spanning
+forest of the links between its components, never the list of all pairs.
 """
 
 from __future__ import annotations
@@ -32,10 +36,12 @@ from pyspark.sql import functions as F
 
 from estatelake.llm.components import components
 from estatelake.llm.textkit import U, mix, shingle_sets
-from estatelake.session import stored
+from estatelake.session import remove_folder, stored, work_dir
 
 GROUP = 256
 GROUP_SHINGLES = 200_000
+#: rounds that join one group of each component to a pivot before the rest is compared in full
+STARS = 2
 #: ids up to this many are broadcast (8 bytes each); beyond, both sides are shuffled
 BROADCAST_IDS = 1_000_000
 
@@ -68,12 +74,17 @@ def _edges(m: int) -> np.ndarray:
 
 
 def _tokens(s: np.ndarray, plan: _Plan) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(class, set tokens, how many of them a partner shares at least) of a sorted set, own size class first."""
+    """(class, set tokens, how many of them a partner shares at least) of a sorted set, own size class first.
+
+    Tokens of empty ranges count as the most widely held ones: as many as may be left out are.
+    """
     sums = np.zeros(len(s) + 1, U)
     np.cumsum(mix(s + U(11)), out=sums[1:])
     for c, m, k in plan.classes(len(s)):
         cut = np.concatenate(([0], np.searchsorted(s, _edges(m)), [len(s)]))
-        yield c, mix(sums[cut[1:]] - sums[cut[:-1]] + np.arange(m, dtype=U) * U(0xA24BAED4963EE407) + np.full(1, c, U) * U(0x9FB21C651E98DF25)), m - k
+        out = mix(sums[cut[1:]] - sums[cut[:-1]] + np.arange(m, dtype=U) * U(0xA24BAED4963EE407) + np.full(1, c, U) * U(0x9FB21C651E98DF25))
+        empty = np.flatnonzero(cut[1:] == cut[:-1])[: m - k - 1]  # in the order of ranges, which is the same for all sets
+        yield c, np.delete(out, empty), m - k - len(empty)
 
 
 SIGNED = "doc_id long, n long, h1 long, h2 long"
@@ -114,8 +125,11 @@ def _token_rows(size: int, num: int, den: int):
 
 
 def _opened(size: int, num: int, den: int):
-    """Rows (a, b, side, node, copies, text), sorted by (a, b), to links and numbers of links."""
-    def links(ids, copies, sets, sides) -> tuple[list, list]:
+    """Rows (a, b, side, comp, seen, text), sorted by (a, b), to links between components.
+
+    Sets of one component and those that were in one group (``seen``) before are not compared.
+    """
+    def links(comps, seen, sets, sides) -> list[tuple[int, int]]:
         left = np.flatnonzero(sides == 0)
         right = np.flatnonzero(sides == 1) if (sides == 1).any() else left
         same = right is left
@@ -133,55 +147,47 @@ def _opened(size: int, num: int, den: int):
         if not same:
             left = reach(left, right)
             right = reach(right, left)
-            if not len(left) or not len(right):
-                return [], []
-        parent = list(range(len(ids)))
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        forest, degree = [], np.zeros(len(ids), np.int64)
+        if not len(left) or not len(right):
+            return []
+        label = np.unique(comps, return_inverse=True)[1]
+        forest = []
         mask = np.zeros(int(names.max()) + 1, bool)
         for i in left:
-            mine = names[at[i]: at[i + 1]]
-            mask[mine] = True
             others = right[right > i] if same else right
-            # sizes alone rule out pairs first
+            # components, earlier comparisons and sizes rule out pairs first
+            others = others[(label[others] != label[i]) & (seen[others] != seen[i])]
             a, b = lengths[i], lengths[others]
             others = others[den * np.minimum(a, b) >= num * np.maximum(a, b)]
-            if len(others):
-                inter = np.add.reduceat(mask[names], at[:-1], dtype=np.int64)[others] if len(others) > 8 else np.array([np.count_nonzero(mask[names[at[j]: at[j + 1]]]) for j in others])
-                for j in others[den * inter >= num * (a + lengths[others] - inter)]:
-                    degree[i] += copies[j]
-                    degree[j] += copies[i]
-                    if (x := root(int(i))) != (y := root(int(j))):
-                        parent[x] = y
-                        forest.append((int(ids[i]), int(ids[j])))
+            if not len(others):
+                continue
+            mine = names[at[i]: at[i + 1]]
+            mask[mine] = True
+            inter = np.add.reduceat(mask[names], at[:-1], dtype=np.int64)[others] if len(others) > 8 else np.array([np.count_nonzero(mask[names[at[j]: at[j + 1]]]) for j in others])
             mask[mine] = False
-        return forest, [(int(ids[i]), int(degree[i])) for i in np.flatnonzero(degree)]
+            for j in others[den * inter >= num * (a + lengths[others] - inter)]:
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+                    forest.append((int(comps[i]), int(comps[j])))
+        return forest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
-        group: list = []
+        group: dict = {}
 
         def closed():
-            # a row that occurs twice is one node
-            sides, ids, copies, sets = zip(*{(i, s.tobytes()): (side, i, c, s) for side, i, c, s in group}.values())
-            forest, degrees = links(np.array(ids), np.array(copies), list(sets), np.array(sides))
-            kinds = [0] * len(forest) + [1] * len(degrees)
-            both = forest + degrees
-            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([x for x, _ in both], pa.int64()), pa.array([y for _, y in both], pa.int64())], names=["kind", "u", "v"])
+            sides, comps, seen, sets = zip(*group.values())
+            forest = links(np.array(comps), np.array(seen), list(sets), np.array(sides))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in forest], pa.int64()), pa.array([y for _, y in forest], pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            a, b, side, ids, copies = (batch.column(k).to_numpy() for k in range(5))
+            a, b, side, comps, seen = (batch.column(k).to_numpy() for k in range(5))
             for i, s in enumerate(shingle_sets(batch.column(5), size)):
                 if held != (a[i], b[i]):
                     if group:
                         yield closed()
-                    held, group = (a[i], b[i]), []
-                group.append((side[i], ids[i], copies[i], s))
+                    held, group = (a[i], b[i]), {}
+                # a row that occurs twice is one node
+                group.setdefault((comps[i], side[i], s.tobytes()), (side[i], comps[i], seen[i], s))
         if group:
             yield closed()
 
@@ -193,53 +199,156 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (doc_id, n, ...) with ``grp``: rows of one key together, dealt by a hash where there are too many."""
+    large = rows.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts")).where("parts > 1")
+    grp = F.xxhash64(key, F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(0))
+    return rows.join(large, key, "left").withColumn("grp", grp).drop("parts")
+
+
+class _Join:
+    """The steps of one join, with their tables; all are removed by ``close``."""
+
+    def __init__(self, texts: DataFrame, size: int, num: int, den: int):
+        self.spark, self.texts, self.how = texts.sparkSession, texts, (size, num, den)
+        self.root, self.count = work_dir(self.spark, "ngram-join"), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        df.write.parquet(f"{self.root}/{self.count}")
+        return self.spark.read.parquet(f"{self.root}/{self.count}")
+
+    def drop(self, df: DataFrame) -> None:
+        """A table goes after its last reader."""
+        for number in {f.rsplit("/", 2)[-2] for f in df.inputFiles()}:
+            remove_folder(self.spark, f"{self.root}/{number}")
+
+    def close(self) -> None:
+        remove_folder(self.spark, self.root)
+
+    def tokens(self, classes: DataFrame) -> DataFrame:
+        """(token, doc_id, held): the set tokens by which partners can be found, and how many hold each."""
+        # texts are read again rather than tokens kept: these are several times as large as what is shared in the end
+        by_token = _only(self.texts, classes.select("doc_id")).select("doc_id", "text").mapInArrow(_token_rows(*self.how), TOKENS).repartition("token")
+        held = self.keep(by_token.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1"))
+        # partners share m - k tokens of a class, so each may leave out its m - k - 1 most widely held ones and still shares one
+        rank = F.row_number().over(Window.partitionBy("doc_id", "class").orderBy(F.desc("held"), "token"))
+        shared = self.keep(held.withColumn("rank", rank).where("rank >= need").select("token", "doc_id", "held"))
+        self.drop(held)
+        return shared
+
+    def links(self, pairs: DataFrame, cells: DataFrame) -> DataFrame:
+        """Links (u, v) between components, of the opened ``pairs`` (a, b) of ``cells`` (cell, doc_id, comp, seen)."""
+        sides = pairs.select("a", "b", F.col("a").alias("cell"), F.lit(0).alias("side")).union(pairs.where("a != b").select("a", "b", F.col("b").alias("cell"), F.lit(1).alias("side")))
+        wanted = self.keep(cells.join(sides.select("cell").distinct(), "cell"))
+        # an id that occurs with several texts would bring in texts of other classes: they are one node anyway
+        fetched = self.keep(_only(self.texts, wanted))
+        found = self.keep(sides.join(fetched, "cell").select("a", "b", "side", "comp", "seen", "text")
+                          .repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_opened(*self.how), "u long, v long"))
+        self.drop(fetched)
+        self.drop(wanted)
+        return found
+
+    def merged(self, state: DataFrame, links: DataFrame) -> DataFrame:
+        """``state`` with the components that the links between components make."""
+        tree = components(links).select(F.col("node").alias("comp"), "component")
+        return self.keep(state.join(tree, "comp", "left").withColumn("comp", F.coalesce("component", "comp")).select(*state.columns))
+
+    def undone(self, shared: DataFrame, state: DataFrame) -> DataFrame:
+        """(token, doc_id, held, n, part, grp, comp) of the tokens whose holders are in several components."""
+        held = self.keep(shared.join(state, "doc_id"))
+        several = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+        out = self.keep(held.join(several, "token"))
+        self.drop(held)
+        return out
+
+    def star_pairs(self, undone: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs of cells, cells): of each component its sets in one group, against the largest cell that shares a token with them.
+
+        A cell has the sets of a component in a group. What one group sends to one pivot is a single cell again.
+        """
+        cell = F.xxhash64("grp", "comp")
+        cells = undone.groupBy("token", "comp", "grp", cell.alias("cell")).agg(F.count("*").alias("sets"))
+        pivot = cells.groupBy("token").agg(F.max(F.struct("sets", "cell", "comp")).alias("pivot"))
+        beside = cells.join(pivot, "token").where("comp != pivot.comp")
+        best = beside.groupBy("comp").agg(F.max(F.struct("pivot.sets", F.col("sets").alias("mine"), "pivot.cell", F.col("cell").alias("own"), "grp")).alias("x"))
+        sent = self.keep(best.select(F.col("x.cell").alias("a"), F.xxhash64("x.cell", "x.grp").alias("b"), F.col("x.own").alias("cell")))
+        rows = state.select("doc_id", "comp", cell.alias("cell"), F.col("grp").alias("seen"))
+        pivots = rows.join(sent.select(F.col("a").alias("cell")).distinct(), "cell")
+        bundles = rows.join(sent.select("cell", "b"), "cell").withColumn("cell", F.col("b")).drop("b")
+        return sent.select("a", "b").distinct(), self.keep(pivots.unionByName(bundles))
+
+    def full_pairs(self, undone: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs of cells, cells) of all comparisons that are left.
+
+        Sets of components of more than ``GROUP`` sets stand in cells of one component each; the others are dealt again.
+        """
+        rows = undone.select("doc_id", "n", "part", "grp", "comp").distinct()
+        big = rows.groupBy("comp").count().where(F.col("count") > GROUP).select("comp")
+        apart = rows.join(big, "comp").withColumn("cell", F.xxhash64("grp", "comp")).withColumn("large", F.lit(True))
+        rest = _dealt(rows.join(big, "comp", "left_anti").withColumnRenamed("grp", "seen"), "part").withColumn("large", F.lit(False))
+        columns = ["doc_id", "comp", "cell", "seen", "large"]
+        cells = self.keep(apart.withColumnRenamed("grp", "seen").select(*columns).union(rest.withColumnRenamed("grp", "cell").select(*columns)))
+        matrix = self.keep(undone.select("token", "doc_id").join(cells, "doc_id").select("token", "cell", F.when(F.col("large"), F.col("comp")).alias("comp")).distinct())
+        small, large = matrix.where("comp is null").select("token", F.col("cell").alias("a")), matrix.where("comp is not null").select("token", F.col("cell").alias("b"), "comp")
+        among = small.join(small.withColumnRenamed("a", "b"), "token").where("a < b").select("a", "b")
+        against = small.join(large, "token").select("a", "b")
+        # cells of one large component never meet: components are paired first, then their cells
+        whole = large.select("token", "comp").distinct()
+        met = whole.withColumnRenamed("comp", "x").join(whole.withColumnRenamed("comp", "y"), "token").where("x < y")
+        between = met.join(large.select("token", F.col("comp").alias("x"), F.col("b").alias("a")), ["token", "x"]).join(large.withColumnRenamed("comp", "y"), ["token", "y"]).select("a", "b")
+        alone = cells.where("not large").groupBy("cell").count().where("count > 1").select(F.col("cell").alias("a"), F.col("cell").alias("b"))
+        return among.union(against).union(between).union(alone).distinct(), cells.select("cell", "doc_id", "comp", "seen")
+
+    def run(self, classes: DataFrame) -> DataFrame:
+        """(doc_id, comp) of the classes that share a token."""
+        shared = self.tokens(classes)
+        part = shared.groupBy("doc_id").agg(F.max(F.struct("held", "token"))["token"].alias("part"))
+        state = self.keep(_dealt(part.join(classes.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"), "part").withColumn("comp", F.col("doc_id")))
+        alone = state.groupBy("grp").count().where("count > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
+        first = self.links(alone, state.select(F.col("grp").alias("cell"), "doc_id", "comp", F.col("doc_id").alias("seen")))
+        state = self.merged(state, first)
+        for _ in range(STARS):
+            undone = self.undone(shared, state)
+            if undone.isEmpty():
+                return state.select("doc_id", "comp")
+            found = self.links(*self.star_pairs(undone, state))
+            if found.isEmpty():
+                break
+            state = self.merged(state, found)
+            # a token whose holders are one component is done for good
+            left = self.keep(undone.select("token", "doc_id", "held"))
+            self.drop(shared)
+            self.drop(undone)
+            shared = left
+        pairs, cells = self.full_pairs(self.undone(shared, state))
+        return self.merged(state, self.links(self.keep(pairs), cells)).select("doc_id", "comp")
+
+
 def jaccard_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_size, n_links.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id, class_size.
 
     Words are runs of characters other than space and U+0009 to U+000D, A-Z lower-cased. ``component_id`` is the
-    smallest id reachable by links, ``class_size`` the rows with an equal set, ``n_links`` the other rows that
-    link with this one. A null or wordless text has an empty set: no links, its own component. Fewer words than
+    smallest id reachable by links, ``class_id`` the smallest id with an equal set and ``class_size`` the rows with an id and an equal
+    set. A null or wordless text has an empty set: no links, its own component. Fewer words than
     ``size`` make one shingle. Rows that share an id are one node. A null id takes no part: null component.
     Other columns of ``docs`` are not read.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(texts.mapInArrow(_signed(size), SIGNED), "shingle-sets")
     key = ["n", "h1", "h2"]
     classes = stored(signed.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
-
-    # texts are read again rather than tokens kept: these are several times as large as what is shared in the end
-    by_token = _only(texts, classes.select("doc_id")).select("doc_id", "text").mapInArrow(_token_rows(size, num, den), TOKENS).repartition("token")
-    held = stored(by_token.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1"), "shared-tokens")
-    # partners share m - k tokens of a class, so each may leave out its m - k - 1 most widely held ones and still shares one
-    rank = F.row_number().over(Window.partitionBy("doc_id", "class").orderBy(F.desc("held"), "token"))
-    shared = stored(held.withColumn("rank", rank).where("rank >= need").select("token", "doc_id", "held"), "wanted-tokens")
-    part = shared.groupBy("doc_id").agg(F.max(F.struct("held", "token"))["token"].alias("part")).join(classes.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("copies").alias("copies")), "doc_id")
-    large = part.groupBy("part").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts")).where("parts > 1")
-    grp = F.xxhash64("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(0))
-    members = stored(part.join(large, "part", "left").select(grp.alias("grp"), "doc_id", "copies"), "members")
-    matrix = stored(shared.join(members, "doc_id").select("token", "grp").distinct(), "matrix")
-    overlap = matrix.alias("x").join(matrix.alias("y"), F.expr("x.token = y.token and x.grp < y.grp"))\
-        .select(F.col("x.grp").alias("a"), F.col("y.grp").alias("b")).distinct()
-    alone = members.groupBy("grp").count().where("count > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
-    pairs = stored(overlap.union(alone), "group-pairs")
-    sides = pairs.select("a", "b", F.col("a").alias("grp"), F.lit(0).alias("side")).union(pairs.where("a != b").select("a", "b", F.col("b").alias("grp"), F.lit(1).alias("side")))
-    wanted = stored(members.join(sides.select("grp").distinct(), "grp"), "wanted")
-    # an id that occurs with several texts would bring in texts of other classes: they are one node anyway
-    fetched = stored(_only(texts, wanted), "wanted-texts")
-    opened = sides.join(fetched, "grp").select("a", "b", "side", "doc_id", "copies", "text")\
-        .repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_opened(size, num, den), "kind int, u long, v long")
-    found = stored(opened, "links-found")
-    tree = components(found.where("kind = 0"))
-    degrees = found.where("kind = 1").groupBy(F.col("u").alias("doc_id")).agg(F.sum("v").alias("outer"))
-    labelled = classes.join(tree.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(degrees, "doc_id", "left")\
-        .select(*key, F.coalesce("component", "doc_id").alias("component_id"), F.col("copies").alias("class_size"), (F.col("copies") - 1 + F.coalesce("outer", F.lit(0))).alias("n_links"))
-    labelled = stored(labelled, "classes-labelled")
-    rows = signed.select("doc_id", *key)
-    return rows.join(labelled, key, "left").select(
+    join = _Join(texts, size, num, den)
+    try:
+        found = join.run(classes)
+        labelled = stored(classes.join(found, "doc_id", "left").select(*key, F.coalesce("comp", "doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.col("copies").alias("class_size")), "classes-labelled")
+    finally:
+        join.close()
+    return signed.select("doc_id", *key).join(labelled, key, "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
 def row_key() -> Column:

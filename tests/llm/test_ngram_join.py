@@ -9,12 +9,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute(rows, size, num, den):
-    """doc_id -> (size of set, component, links)"""
+    """doc_id -> (size of set, component)"""
     sets = {}
     for i, t in rows:
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets[i] = frozenset(tuple(w[k: k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
-    parent, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
+    parent = {i: i for i in sets}
 
     def root(x):
         while parent[x] != x:
@@ -26,15 +26,13 @@ def brute(rows, size, num, den):
         for b in ids[k + 1:]:
             inter = len(sets[a] & sets[b])
             if sets[a] and sets[b] and den * inter >= num * (len(sets[a]) + len(sets[b]) - inter):
-                links[a] += 1
-                links[b] += 1
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    return {i: (len(sets[i]), root(i), links[i]) for i in ids}
+    return {i: (len(sets[i]), root(i)) for i in ids}
 
 
 def got(df, **options):
-    return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_classes(df, **options).collect()}
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_classes(df, **options).collect()}
 
 
 @pytest.mark.parametrize("size,num", [(3, 90), (5, 80)])
@@ -57,17 +55,72 @@ def test_equals_all_pairs(spark, documents, size, num):
     assert got(documents(rows), size=size, num=num) == brute(rows, size, num, 100)
 
 
-def test_large_cluster_is_dealt_into_groups(spark, documents, monkeypatch):
-    monkeypatch.setattr(ngram_join, "GROUP", 8)
-    rng = random.Random(4)
-    base = [f"v{k}" for k in range(120)]
-    rows = []
-    for i in range(60):
+def near_copies(n, seed=4, edits=(1, 2, 3)):
+    rng = random.Random(seed)
+    base, rows = [f"v{k}" for k in range(120)], []
+    for i in range(n):
         w = list(base)
-        for _ in range(rng.choice([1, 2, 3])):
+        for _ in range(rng.choice(edits)):
             w[rng.randrange(120)] = f"x{rng.randrange(1000)}"
         rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.fixture()
+def opened(monkeypatch):
+    """How many texts the opened pairs of groups held."""
+    monkeypatch.setattr(ngram_join, "GROUP", 8)
+    rows, links = [], ngram_join._Join.links
+
+    def counted(self, pairs, cells):
+        sides = pairs.selectExpr("a as cell").union(pairs.where("a != b").selectExpr("b as cell"))
+        rows.append(sides.join(cells, "cell").count())
+        return links(self, pairs, cells)
+
+    monkeypatch.setattr(ngram_join._Join, "links", counted)
+    return rows
+
+
+def test_opened_pairs_grow_with_a_cluster_not_with_its_square(spark, documents, opened):
+    taken = {}
+    for n in (60, 240):
+        opened.clear()
+        rows = near_copies(n, edits=(1,))
+        assert got(documents(rows), size=3, num=90) == brute(rows, 3, 90, 100)
+        taken[n] = sum(opened)
+    assert taken[240] < 6 * taken[60] and taken[240] < 6 * 240, taken
+
+
+def test_cluster_that_hardly_links_is_compared_in_full(spark, documents, opened):
+    rows = near_copies(120)
+    assert got(documents(rows), size=3, num=90) == brute(rows, 3, 90, 100)
+
+
+def test_two_hot_clusters_and_what_lies_between(spark, documents, opened):
+    """A cluster whose ends are unlike, another one, and texts that are nearly but not near copies."""
+    rng = random.Random(8)
+    rows = near_copies(50)
+    other = [f"u{k}" for k in range(120)]
+    for i in range(50, 90):
+        w = list(other)
+        w[rng.randrange(120)] = f"y{i}"
+        rows.append((i, " ".join(w)))
+    for i in range(90, 130):  # a chain: each differs from the one before in one word
+        other = list(other)
+        other[(i * 7) % 120] = f"z{i}"
+        rows.append((i, " ".join(other)))
+    for i in range(130, 170):  # share a third with the first cluster
+        rows.append((i, " ".join([f"v{k}" for k in range(40)] + [f"q{i}.{k}" for k in range(80)])))
+    rng.shuffle(rows)
     assert got(documents(rows), size=3, num=90) == brute(rows, 3, 90, 100)
+    assert got(documents(rows), size=5, num=80) == brute(rows, 5, 80, 100)
+
+
+def test_tables_of_the_join_are_removed(spark, documents):
+    import os
+    ngram_join.jaccard_classes(documents(near_copies(30)), size=3, num=90).collect()
+    root = os.path.dirname(ngram_join.work_dir(spark, "x"))
+    assert not [f for f in os.listdir(root) if f.startswith("ngram-join-")]
 
 
 def test_edge_rows(spark, documents):
@@ -77,8 +130,8 @@ def test_edge_rows(spark, documents):
     assert len(marked) == 12
     by = {r["doc_id"]: r for r in marked if r["doc_id"] is not None}
     assert {i: by[i]["component_id"] for i in by} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7, 9: 9}
-    assert by[7]["n_links"] == 1 and by[1]["n_shingles"] == 0
-    assert [r["component_id"] for r in marked if r["doc_id"] is None] == [None, None]
+    assert by[1]["n_shingles"] == 0 and (by[5]["class_id"], by[5]["class_size"]) == (4, 2) and (by[8]["class_id"], by[8]["class_size"]) == (8, 1)
+    assert [(r["component_id"], r["class_id"]) for r in marked if r["doc_id"] is None] == [(None, None)] * 2
     kept = ngram_join.keep_one(documents([*rows, (None, "one")]))
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 9]
     assert kept.columns == documents([]).columns
