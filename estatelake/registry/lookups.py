@@ -22,14 +22,17 @@ _SCAN = ["listing_id", "category", "city", "title", "price_egp", "furnished", "r
 _NA = "('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')"
 
 
+_BREAKS = """CASE WHEN k_l_suppkey % 3 = 0 THEN concat(title, chr(10), 'a "second" line, and', chr(13), chr(10), chr(10), 'more') ELSE title END"""
+
+
 @query("scan_listings", "SELECT " + ", ".join(
     f"CASE WHEN {c} NOT IN {_NA}{' AND k_l_suppkey % 2 = 0' if c == 'description' else ''} THEN {c} END AS {c}" for c in _SCAN)
-       + " FROM raw", over="raw")
+       + f" FROM (SELECT * REPLACE ({_BREAKS} AS title) FROM raw)", over="raw")
 def _scan(spark, d):
-    """The sample written as CSV, half of it in another column order, without the description and with
+    """The sample written as CSV, with line breaks in quoted titles, half of it in another column order, without the description and with
     untidy names, and read back through the listing scan."""
     root = work_dir(spark, "scan")
-    raw = raw_listings(spark, d, *RAW_COLUMNS, "k_l_suppkey")
+    raw = raw_listings(spark, d, *RAW_COLUMNS, "k_l_suppkey").withColumn("title", F.expr(_BREAKS))
     other = [c for c in reversed(RAW_COLUMNS) if c != "description"]
     halves = {
         f"{root}/a.csv": raw.where("k_l_suppkey % 2 = 0").select(*RAW_COLUMNS),

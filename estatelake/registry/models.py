@@ -340,8 +340,9 @@ def _sanity(spark, d):
         & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
     )
     picked = V.one_per_case(requests, _CASES, ["request_id", "listed_date", "area_value", "lat", "price_egp"])
-    actual = picked.select("request_id", F.col("market_type").alias("m"), F.col("property_type").alias("t"), F.col("price_egp").alias("actual_egp"))
+    case = ["request_id", "market_type", "property_type"]  # one listing may stand for several cases
+    actual = picked.select(*case, F.col("price_egp").alias("actual_egp"))
     valued, _ = V.batch_valuation(picked.drop("price_egp"), engine_of(spark, d), as_of())
-    compared = V.actual_vs_predicted(valued, actual.select("request_id", "actual_egp"))
+    compared = V.actual_vs_predicted(valued, actual, case)
     error = F.abs(F.col("error_egp") - (F.col("estimated_value_egp") - F.col("actual_egp"))) <= 0.01
     return compared.select("market_type", "property_type", "model_resolution", "request_id", "actual_egp", estimate_holds().alias("estimate_holds"), error.alias("error_holds"))
