@@ -42,6 +42,8 @@ GROUP = 256
 GROUP_SHINGLES = 200_000
 #: rounds that join one group of each component to a pivot before the rest is compared in full
 STARS = 2
+#: by how many shared tokens in turn a set may be away from a large component to be compared beside it
+HOPS = 2
 #: ids up to this many are broadcast (8 bytes each); beyond, both sides are shuffled
 BROADCAST_IDS = 1_000_000
 
@@ -265,30 +267,39 @@ class _Join:
     def star_pairs(self, undone: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(pairs of cells, cells): of each component its sets in one group, against the largest cell that shares a token with them.
 
-        A cell has the sets of a component in a group. What one group sends to one pivot is a single cell again.
+        A cell has the sets of a component in a group. What is sent to one pivot is dealt into cells again.
         """
         cell = F.xxhash64("grp", "comp")
-        cells = undone.groupBy("token", "comp", "grp", cell.alias("cell")).agg(F.count("*").alias("sets"))
+        cells = undone.groupBy("token", "comp", cell.alias("cell")).agg(F.count("*").alias("sets"))
         pivot = cells.groupBy("token").agg(F.max(F.struct("sets", "cell", "comp")).alias("pivot"))
         beside = cells.join(pivot, "token").where("comp != pivot.comp")
-        best = beside.groupBy("comp").agg(F.max(F.struct("pivot.sets", F.col("sets").alias("mine"), "pivot.cell", F.col("cell").alias("own"), "grp")).alias("x"))
-        sent = self.keep(best.select(F.col("x.cell").alias("a"), F.xxhash64("x.cell", "x.grp").alias("b"), F.col("x.own").alias("cell")))
-        rows = state.select("doc_id", "comp", cell.alias("cell"), F.col("grp").alias("seen"))
+        best = beside.groupBy("comp").agg(F.max(F.struct("pivot.sets", F.col("sets").alias("mine"), "pivot.cell", F.col("cell").alias("own"))).alias("x"))
+        sent = self.keep(best.select(F.col("x.cell").alias("a"), F.col("x.own").alias("cell")))
+        rows = state.select("doc_id", "n", "comp", cell.alias("cell"), F.col("grp").alias("seen"))
         pivots = rows.join(sent.select(F.col("a").alias("cell")).distinct(), "cell")
-        bundles = rows.join(sent.select("cell", "b"), "cell").withColumn("cell", F.col("b")).drop("b")
-        return sent.select("a", "b").distinct(), self.keep(pivots.unionByName(bundles))
+        bundles = self.keep(_dealt(rows.join(sent, "cell"), "a"))
+        columns = ["doc_id", "comp", "cell", "seen"]
+        return bundles.select("a", F.col("grp").alias("b")).distinct(), self.keep(pivots.select(*columns).union(bundles.drop("cell").withColumnRenamed("grp", "cell").select(*columns)))
 
     def full_pairs(self, undone: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(pairs of cells, cells) of all comparisons that are left.
 
-        Sets of components of more than ``GROUP`` sets stand in cells of one component each; the others are dealt again.
+        Sets of components of more than ``GROUP`` sets stand in cells of one component each; the others are dealt again, those
+        near a large component by that one, so that few cells meet its cells.
         """
-        rows = undone.select("doc_id", "n", "part", "grp", "comp").distinct()
-        big = rows.groupBy("comp").count().where(F.col("count") > GROUP).select("comp")
-        apart = rows.join(big, "comp").withColumn("cell", F.xxhash64("grp", "comp")).withColumn("large", F.lit(True))
-        rest = _dealt(rows.join(big, "comp", "left_anti").withColumnRenamed("grp", "seen"), "part").withColumn("large", F.lit(False))
+        rows = self.keep(undone.select("doc_id", "n", "part", "grp", "comp").distinct())
+        big = self.keep(rows.groupBy("comp").count().where(F.col("count") > GROUP).select("comp"))
+        apart = _dealt(self.keep(rows.join(big, "comp").withColumnRenamed("grp", "seen")), "comp").withColumn("large", F.lit(True))
+        # first those that share a token with a large component, then those that share one with them
+        near, known = None, undone.join(big, "comp").select("token", F.col("comp").alias("near"))
+        for _ in range(HOPS):
+            by_token = known.groupBy("token").agg(F.max("near").alias("near"))
+            near = self.keep(undone.join(by_token, "token").groupBy("doc_id").agg(F.max("near").alias("near")))
+            known = undone.join(near, "doc_id").select("token", "near")
+        others = rows.join(big, "comp", "left_anti").join(near, "doc_id", "left").withColumn("key", F.coalesce("near", "part")).withColumnRenamed("grp", "seen")
+        rest = _dealt(self.keep(others), "key").withColumn("large", F.lit(False))
         columns = ["doc_id", "comp", "cell", "seen", "large"]
-        cells = self.keep(apart.withColumnRenamed("grp", "seen").select(*columns).union(rest.withColumnRenamed("grp", "cell").select(*columns)))
+        cells = self.keep(apart.unionByName(rest, allowMissingColumns=True).withColumnRenamed("grp", "cell").select(*columns))
         matrix = self.keep(undone.select("token", "doc_id").join(cells, "doc_id").select("token", "cell", F.when(F.col("large"), F.col("comp")).alias("comp")).distinct())
         small, large = matrix.where("comp is null").select("token", F.col("cell").alias("a")), matrix.where("comp is not null").select("token", F.col("cell").alias("b"), "comp")
         among = small.join(small.withColumnRenamed("a", "b"), "token").where("a < b").select("a", "b")
