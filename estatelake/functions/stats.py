@@ -1,13 +1,14 @@
 """Exact group statistics that stay bounded per task at any group size.
 
 ``percentile``/``median`` keep every distinct value of a group in one buffer, so a group
-that holds a third of a 100 TB table would not fit. Here each value first falls into a
-coarse bucket (a monotone function of the value, so buckets are ordered like values):
+that holds a third of a 100 TB table would not fit. Here each value falls into a
+coarse bucket (a monotone function of the value, so buckets are ordered like values), and two scans do the rest:
 
-1. equal values of a group are combined on the map side and counted;
-2. bucket totals per group give each bucket's range of ranks - buckets have the same relative width at every
+1. rows are counted and summed by (group, bucket) on the map side; only bucket totals are shuffled, never values. They give each
+   bucket's range of ranks. Buckets have the same relative width at every
    magnitude, and a group has at most ``2 * 2200 * SCALE`` of them, whatever its row count;
-3. only the buckets holding a wanted rank are opened, and ranked within the bucket.
+2. the few buckets that hold a wanted rank are stored, so that the planner knows their size, and the rows are scanned again for
+   the values in them, which are ranked within their bucket.
 
 Results are exact and equal linear interpolation between closest ranks.
 """
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from estatelake.functions import sqltext as X
 from estatelake.functions.scalars import finite
+from estatelake.session import stored
 
-SCALE = 4096
+SCALE = 1024
 _NO_VALUE = -(2**62)
 
 
@@ -36,12 +38,6 @@ def _bucket(v: Column) -> Column:
     return F.coalesce(spread, F.lit(_NO_VALUE)).cast("bigint")
 
 
-def _bucket_base(b: Column) -> Column:
-    """A value close to all values of bucket ``b``; sums of squares are taken around it."""
-    size = F.pow(F.lit(2.0), (F.abs(b.cast("double")) - F.lit(float(_LIFT))) / F.lit(float(SCALE)))
-    return F.when(b == 0, F.lit(0.0)).otherwise(F.signum(b.cast("double")) * size)
-
-
 def group_stats(
     df: DataFrame,
     keys: list[str],
@@ -62,25 +58,19 @@ def group_stats(
     rows = df.select(*keys, finite(val).alias("_v"))
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    counted = (
-        rows.groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_v", F.when(F.col("_v").isNotNull(), F.col("_rows")).otherwise(0).alias("_n"))
-        .withColumn("_b", _bucket(F.col("_v")))
-    )
-    v, n, b = F.col("_v"), F.col("_n"), F.col("_b")
+    rows = rows.withColumn("_b", _bucket(F.col("_v")))
+    v = F.col("_v")
 
-    sums = [F.sum(n).alias("_bn")]
+    sums = [F.count(v).alias("_bn")]
     if mean or std:
-        sums.append(F.sum(n * v).alias("_bs"))
+        sums.append(F.sum(v).alias("_bs"))
     if low:
         sums.append(F.min(v).alias("_blow"))
     if high:
         sums.append(F.max(v).alias("_bhigh"))
     if std:
-        off = v - _bucket_base(b)
-        sums += [F.sum(n * off).alias("_d1"), F.sum(n * off * off).alias("_d2")]
-    buckets = counted.groupBy(*keys, "_b").agg(*sums)
+        sums += [F.avg(v).alias("_bmean"), F.var_pop(v).alias("_bvar")]
+    buckets = rows.groupBy(*keys, "_b").agg(*sums)
 
     group = Window.partitionBy(*keys)
     upto = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -99,8 +89,8 @@ def group_stats(
     if high:
         kept[high] = F.max("_bhigh").over(group)
     if std:
-        gap = _bucket_base(b) - F.col("_mean")
-        around_mean = F.sum(F.col("_d2") + 2 * gap * F.col("_d1") + F.col("_bn") * gap * gap).over(group)
+        gap = F.col("_bmean") - F.col("_mean")
+        around_mean = F.sum(F.coalesce(F.col("_bn") * (F.col("_bvar") + gap * gap), F.lit(0.0))).over(group)
         kept[std] = F.sqrt(
             F.try_divide(F.greatest(around_mean, F.lit(0.0)), F.when(F.col("_total") > 1, F.col("_total") - 1))
         )
@@ -118,17 +108,19 @@ def group_stats(
     ]
     # A group without values has only its empty bucket and must still give a row.
     is_wanted = reduce(lambda x, y: x | y, wanted, F.col("_total") == 0)
-    opened = totals.select(
+    opened = stored(totals.select(
         *keys, "_b", first_rank.alias("_first"), "_total", F.col("_upto"), F.col("_bn"),
         *[c.alias(name) for name, c in kept.items()],
-    ).where(is_wanted).drop("_upto", "_bn")
+    ).where(is_wanted).drop("_upto", "_bn"), "opened-buckets")
 
+    carried = ["_first", "_total", *kept]
+    counted = rows.join(opened, [*keys, "_b"]).groupBy(*keys, "_b", "_v").agg(
+        F.count("_v").alias("_n"), *[F.max(c).alias(c) for c in carried])
     in_bucket = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ranked = counted.join(opened, [*keys, "_b"]).withColumn(
-        "_stop", F.col("_first") + F.sum("_n").over(in_bucket)
-    )
+    n = F.col("_n")
+    ranked = counted.withColumn("_stop", F.col("_first") + F.sum("_n").over(in_bucket))
     start, stop = F.col("_stop") - n, F.col("_stop")
     picks = []
     for i, pos in enumerate(place.values()):

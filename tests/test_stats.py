@@ -107,3 +107,17 @@ def test_small_values_spread_over_buckets(spark):
     far = spark.range(1_000).select((F.col("id") * 1e300).alias("v")).union(spark.range(1_000).select((-F.col("id") * 1e-300).alias("v")))
     pairs = far.orderBy("v").select("v", _bucket(F.col("v")).alias("b")).collect()
     assert [r["b"] for r in pairs] == sorted(r["b"] for r in pairs) and len({r["b"] for r in pairs}) > 1_500
+
+
+def test_only_values_of_opened_buckets_are_shuffled(spark, frame):
+    """The rows meet the opened buckets before any exchange by value."""
+    df = spark.range(0, 200_000).selectExpr("id % 7 as k", "pow(1.0001, id % 90000) as v")
+    got = stats.group_stats(df, ["k"], "v", {"mid": 0.5, "p99": 0.99}, count="n")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    join = next(i for i, line in enumerate(lines) if "BroadcastHashJoin" in line)
+    assert all(i < join for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)  # the tree is printed from the top
+    rows = got.collect()
+    assert len(rows) == 7 and sum(r["n"] for r in rows) == 200_000
+    want = df.groupBy("k").agg(F.percentile("v", [0.5, 0.99]).alias("q")).collect()
+    assert all(np.allclose([r["mid"], r["p99"]], w["q"], rtol=1e-12) for r, w in zip(sorted(rows), sorted(want)))
