@@ -24,7 +24,7 @@ from estatelake.functions import sqltext as X
 from estatelake.functions.scalars import finite
 from estatelake.session import stored
 
-SCALE = 1024
+SCALE = 2048
 _NO_VALUE = -(2**62)
 
 
