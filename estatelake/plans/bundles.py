@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from estatelake.functions.stats import stacked
 from estatelake.operators import market as M
 from estatelake.plans.views import VIEWS
 from estatelake.sources.files import records_json
@@ -21,6 +22,9 @@ OVERVIEW_SECTIONS = {
     "opportunity_signals": "vw_market_opportunity_signals",
 }
 
+#: fields that name a record
+OVERVIEW_KEYS = ["listing_id", "category", "city", "town", "district", "property_type"]
+
 
 def market_overview_bundle(df: DataFrame) -> DataFrame:
     """All records of the six market views as (section, record_json), one row per record."""
@@ -53,13 +57,22 @@ def market_analysis(df: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def analysis_counts(results: dict[str, DataFrame]) -> DataFrame:
-    """(section, item, listings) of every result that counts listings per item."""
+def analysis_rows(results: dict[str, DataFrame]) -> DataFrame:
+    """(section, item, measure, value): every number of every result. The item is the result's text or first column; the overview has none."""
     parts = []
     for section, frame in results.items():
-        if "listings" in frame.columns:
-            item = frame.columns[0]
-            parts.append(frame.select(
-                F.lit(section).alias("section"), F.col(item).cast("string").alias("item"), "listings"
-            ))
-    return reduce(DataFrame.unionByName, parts)
+        key = None if section == "market_overview" else frame.columns[0]
+        measures = [c for c in frame.columns if c != key]
+        item = F.lit("") if key is None else F.col(key).cast("string")
+        parts.append(stacked(frame.withColumn("section", F.lit(section)).withColumn("item", item), measures, "measure", "value", "double", keep=["section", "item"]))
+    return reduce(DataFrame.unionByName, parts).where("value IS NOT NULL")
+
+
+def bundle_rows(bundle: DataFrame) -> DataFrame:
+    """(section, item, measure, value, label): the contents of the records; the item joins a record's key fields."""
+    fields = F.from_json("record_json", "map<string,string>")
+    item = F.concat_ws("|", *[F.col("fields")[k] for k in OVERVIEW_KEYS])
+    cells = bundle.withColumn("fields", fields).select("section", item.alias("item"), F.explode("fields").alias("measure", "text"))
+    number = F.col("text").try_cast("double")
+    return cells.where(~F.col("measure").isin(OVERVIEW_KEYS) & F.col("text").isNotNull()).select(
+        "section", "item", "measure", number.alias("value"), F.when(number.isNull(), F.col("text")).alias("label"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from estatelake.operators import features as E
 from estatelake.registry.base import as_of, query, rounded
-from estatelake.schema import CATEGORICAL_FEATURES, LEGACY_RENT_INPUT, NUMERIC_FEATURES
+from estatelake.schema import CATEGORICAL_FEATURES, LEGACY_RENT_INPUT, LEGACY_SALE_INPUT, NUMERIC_FEATURES
 from estatelake.sources.sample import listings
 
 MODEL_SOURCE = [
@@ -129,12 +129,21 @@ _LEGACY_KNOWN = ["area_value", "bedrooms", "bathrooms", "property_type", "city",
                  "furnished", "listing_level"]
 
 
-@query("conform_model_input", "SELECT " + ", ".join(
-    c if c in _LEGACY_KNOWN else f"CAST(NULL AS VARCHAR) AS {c}" for c in LEGACY_RENT_INPUT) + " FROM listings")
+def _layout_sql(layout: list[str]) -> str:
+    return "SELECT " + ", ".join(c if c in _LEGACY_KNOWN else f"CAST(NULL AS VARCHAR) AS {c}" for c in layout) + " FROM listings"
+
+
+@query("conform_model_input", _layout_sql(LEGACY_RENT_INPUT))
 def _conform(spark, d):
     return E.conform_model_input(listings(spark, d, *_LEGACY_KNOWN), "rent")
 
 
+@query("conform_model_input_sale", _layout_sql(LEGACY_SALE_INPUT))
+def _conform_sale(spark, d):
+    """The older layout of the other market; another query, as its columns differ."""
+    return E.conform_model_input(listings(spark, d, *_LEGACY_KNOWN), "sale")
+
+
 @query("missing_category_token", """
 SELECT coalesce(city, '__MISSING__') AS city, coalesce(property_type, '__MISSING__') AS property_type,
   coalesce(furnished, '__MISSING__') AS furnished, count(*) AS n FROM listings GROUP BY ALL""")

@@ -12,9 +12,10 @@ from estatelake.operators.quality import missing_required_columns, names_frame
 from estatelake.functions.scalars import hash_bucket
 from estatelake.plans import bundles, valuation
 from estatelake.plans.views import vw_market_overview
-from estatelake.registry.base import query, texts
-from estatelake.schema import RAW_COLUMNS
-from estatelake.session import work_dir
+from estatelake.registry import views as _views  # noqa: F401  (their checks are part of the bundle's)
+from estatelake.registry.base import ORACLES, query, texts
+from estatelake.schema import RAW_COLUMNS, SEARCH_COLUMNS
+from estatelake.session import stored, work_dir
 from estatelake.sources import files
 from estatelake.sources.sample import listings, raw_listings
 
@@ -80,27 +81,36 @@ def _records(spark, d):
     return packed.select(F.get_json_object("record_json", "$.listing_id").cast("bigint").alias("listing_id"), "record_json")
 
 
-@query("market_overview_bundle", """
-SELECT 'overview' AS section, 1 AS records
-UNION ALL SELECT 'summary', count(*) FROM (SELECT DISTINCT category, property_type FROM listings WHERE property_type IS NOT NULL)
-UNION ALL SELECT 'robust_metrics', count(DISTINCT category) FROM listings
-UNION ALL SELECT 'location_intelligence', count(*) FROM (SELECT DISTINCT city, town, district FROM listings WHERE city IS NOT NULL)
-UNION ALL SELECT 'city_profiles', count(DISTINCT city) FROM listings
-UNION ALL SELECT 'opportunity_signals', count(*) FROM listings JOIN (
-  SELECT category, city, property_type FROM listings WHERE price_per_sqm IS NOT NULL GROUP BY ALL
-  HAVING count(*) >= 10 AND median(price_per_sqm) > 0) USING (category, city, property_type) WHERE price_per_sqm IS NOT NULL""")
+def _bundle_sql() -> str:
+    """The contents of the six views, which have checks of their own, as (section, item, measure, value, label)."""
+    keys = {"overview": [], "summary": ["category", "property_type"], "robust_metrics": ["category"], "location_intelligence": ["city", "town", "district"],
+            "city_profiles": ["city"], "opportunity_signals": ["listing_id", "category", "city", "property_type"]}
+    parts = []
+    for section, names in keys.items():
+        sql = ORACLES[bundles.OVERVIEW_SECTIONS[section]]
+        item = f"concat_ws('|', {', '.join(names)})" if names else "''"
+        labels = ["signal"] if section == "opportunity_signals" else []
+        left_out = f" EXCLUDE ({', '.join([*names, *labels])})" if names else ""
+        parts.append(f"SELECT '{section}' AS section, item, measure, value, NULL::VARCHAR AS label FROM (UNPIVOT (SELECT {item} AS item, COLUMNS(*{left_out})::DOUBLE FROM ({sql})) "
+                     "ON COLUMNS(* EXCLUDE (item)) INTO NAME measure VALUE value)")
+        parts += [f"SELECT '{section}', {item}, '{c}', NULL::DOUBLE, {c} FROM ({sql})" for c in labels]
+    return " UNION ALL ".join(parts)
+
+
+@query("market_overview_bundle", _bundle_sql(), over=None)
 def _bundle(spark, d):
-    df = listings(spark, d, "listing_id", "category", "city", "town", "district", "property_type", "price_egp",
-                  "area_value", "price_per_sqm")
-    rows = bundles.market_overview_bundle(df)
-    return rows.groupBy("section").agg(F.count_if(F.col("record_json").startswith("{")).alias("records"))
+    # stored once: the six views read this narrow table
+    df = stored(listings(spark, d, "listing_id", "category", "city", "town", "district", "property_type", "price_egp",
+                         "area_value", "price_per_sqm"), "overview")
+    rows = bundles.bundle_rows(bundles.market_overview_bundle(df))
+    return rows.withColumn("value", F.expr("""CASE WHEN measure = 'share_of_city' THEN round(value, 8)
+        WHEN measure IN ('discount_pct', 'iqr') OR section = 'robust_metrics' AND measure IN ('p10', 'p25', 'median_price', 'p75', 'p90') THEN round(value, 6)
+        WHEN measure LIKE 'avg_%' OR measure = 'trimmed_mean' THEN round(value, 4) ELSE value END"""))
 
 
 # --- filters and lookups --------------------------------------------------------------------
 
-_SEARCHED = ["listing_id", "category", "listing_type", "property_type", "offering_type", "price_egp", "price_period",
-             "city", "town", "district", "bedrooms", "bathrooms", "area_value", "area_unit", "furnished",
-             "listing_level", "is_premium", "is_verified", "listed_date", "price_per_sqm"]
+_SEARCHED = SEARCH_COLUMNS
 
 
 @query("search_listings", f"""
@@ -113,17 +123,23 @@ def _search(spark, d):
 
 
 @query("area_price_pairs", """
-SELECT area_value, price_egp FROM listings WHERE category = 'buy' AND area_value IS NOT NULL AND price_egp IS NOT NULL""")
+SELECT category, area_value, price_egp FROM listings WHERE category IN ('buy', 'rent') AND area_value IS NOT NULL AND price_egp IS NOT NULL""")
 def _pairs(spark, d):
-    return FI.area_price_pairs(listings(spark, d, "category", "area_value", "price_egp"), "buy")
+    df = listings(spark, d, "category", "area_value", "price_egp")
+    return _both_markets(lambda c: FI.area_price_pairs(df, c))
 
 
 @query("price_per_sqm_listings", """
-SELECT property_type, city, area_value, price_egp, price_egp / area_value AS price_per_sqm
-FROM listings WHERE category = 'rent' AND area_value > 0 AND price_egp > 0""")
+SELECT category, property_type, city, area_value, price_egp, price_egp / area_value AS price_per_sqm
+FROM listings WHERE category IN ('buy', 'rent') AND area_value > 0 AND price_egp > 0""")
 def _per_sqm(spark, d):
     df = listings(spark, d, "category", "property_type", "city", "area_value", "price_egp")
-    return FI.price_per_sqm_listings(df, "rent")
+    return _both_markets(lambda c: FI.price_per_sqm_listings(df, c))
+
+
+def _both_markets(of):
+    sale, rent = (of(c).withColumn("category", F.lit(c)) for c in ("buy", "rent"))
+    return sale.unionByName(rent)
 
 
 @query("p99_trim", """, v AS (SELECT category, area_value, price_egp FROM listings WHERE area_value > 0 AND price_egp > 0),

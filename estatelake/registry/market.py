@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from estatelake.operators import market as M
 from estatelake.plans import bundles
 from estatelake.registry.base import query, rounded
+from estatelake.session import stored
 from estatelake.sources.sample import listings, table
 
 MARKETS = ("buy", "rent")
@@ -206,27 +207,39 @@ def _top_metric(spark, d):
     return M.top_by_metric(means, "town", "metric")
 
 
-_SECTIONS = [
-    ("property_types", "coalesce(property_type, 'nan')", "count(*)", "true"),
-    ("locations", "coalesce(city, 'nan')", "count(*)", "true"),
-    ("towns", "coalesce(town, 'nan')", "count(*)", "true"),
-    ("districts", "coalesce(district, 'nan')", "count(*)", "true"),
-]
-for _m, _c in (("sale", "buy"), ("rent", "rent")):
-    for _n, _k, _w in (("property_type_prices", "property_type", ""), ("city_prices", "city", ""),
-                       ("bedroom_prices", "bedrooms", " AND price_egp IS NOT NULL"), ("furnished", "furnished", "")):
-        _SECTIONS.append((f"{_m}_{_n}", f"CAST({_k} AS VARCHAR)", "count(price_egp)",
-                          f"category = '{_c}' AND {_k} IS NOT NULL{_w}"))
-_ANALYSIS = " UNION ALL ".join(
-    f"SELECT '{s}' AS section, {i} AS item, {n} AS listings FROM listings WHERE {w} GROUP BY 2"
-    for s, i, n, w in _SECTIONS)
-
-
-@query("market_analysis", _ANALYSIS)
+def _study_sql() -> str:
+    """Every result as (section, item, measure, value)."""
+    def part(section: str, key: str, columns: str, rest: str) -> str:
+        rows = f"SELECT {key} AS item, {columns} FROM listings {rest}"
+        return (f"SELECT '{section}' AS section, item, measure, value FROM (UNPIVOT (SELECT item, COLUMNS(* EXCLUDE (item))::DOUBLE FROM ({rows})) "
+                "ON COLUMNS(* EXCLUDE (item)) INTO NAME measure VALUE value)")
+
+    of = lambda c, what: f"{what} FILTER (category = '{c}')"
+    overview = ", ".join([
+        "count(*) AS total_listings", f"{of('buy', 'count(*)')} AS sale_listings", f"{of('rent', 'count(*)')} AS rent_listings",
+        f"round({of('buy', 'count(*)')} * 100.0::DOUBLE / count(*), 2) AS sale_percentage", f"round({of('rent', 'count(*)')} * 100.0::DOUBLE / count(*), 2) AS rent_percentage",
+        f"{of('buy', 'median(price_egp)')} AS median_sale_price", f"{of('rent', 'median(price_egp)')} AS median_rent_price"])
+    extremes = "min(price_egp) AS min_price, max(price_egp) AS max_price"
+    parts = [part("market_overview", "''", overview, ""),
+             part("price_summary", "CASE category WHEN 'buy' THEN 'sale' ELSE 'rent' END", f"round(avg(price_egp), 4) AS mean_price, {extremes}, round(stddev_samp(price_egp), 4) AS std_price, median(price_egp) AS median_price",
+                  "WHERE price_egp IS NOT NULL GROUP BY 1")]
+    parts += [part(s, f"coalesce({k}, 'nan')", "count(*) AS listings", "GROUP BY 1") for s, k in (("property_types", "property_type"), ("locations", "city"), ("towns", "town"), ("districts", "district"))]
+    parts += [part("property_characteristics", f"'{c}'", f"count({c}) AS count, round(avg({c}), 4) AS mean, min({c}) AS min, max({c}) AS max, round(stddev_samp({c}), 4) AS std, "
+                   f"quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.75) AS p75", "") for c in ("area_value", "bedrooms", "bathrooms")]
+    for market, c in (("sale", "buy"), ("rent", "rent")):
+        for name, key, more, only in (("property_type_prices", "property_type", f", {extremes}", ""), ("city_prices", "city", "", ""),
+                                      ("bedroom_prices", "bedrooms", "", " AND price_egp IS NOT NULL"), ("furnished", "furnished", "", "")):
+            parts.append(part(f"{market}_{name}", f"CAST({key} AS VARCHAR)", _PRICES + more, f"WHERE category = '{c}' AND {key} IS NOT NULL{only} GROUP BY 1"))
+    return " UNION ALL ".join(parts)
+
+
+@query("market_analysis", _study_sql())
 def _analysis(spark, d):
-    df = listings(spark, d, "category", "price_egp", "property_type", "city", "town", "district", "area_value",
-                  "bedrooms", "bathrooms", "furnished")
-    return bundles.analysis_counts(bundles.market_analysis(df))
+    # stored once: each of the fifteen results reads this narrow table
+    df = stored(listings(spark, d, "category", "price_egp", "property_type", "city", "town", "district", "area_value",
+                         "bedrooms", "bathrooms", "furnished"), "study")
+    rows = bundles.analysis_rows(bundles.market_analysis(df))
+    return rows.withColumn("value", F.expr("CASE WHEN measure IN ('mean_price', 'std_price', 'mean', 'std') THEN round(value, 4) ELSE value END"))
 
 
 @query("best_model", """
