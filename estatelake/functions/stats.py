@@ -139,21 +139,21 @@ def group_stats(
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every ordered column pair, over rows where both are present.
 
-    One aggregation pass over (pair, x, y) rows, combined on the map side: a few sums per pair
-    are shuffled. A pair with a constant column gives NULL.
+    One aggregate without keys whose buffer holds, for each pair, count, means and co-moments around them; buffers of tasks are merged
+    by the same update, so values far from zero lose no digits. No row is generated, and one row a task is shuffled.
+    A pair with a constant column gives NULL.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    base = df.select(*[finite(F.col(c)).alias(c) for c in columns])
-    cells = ", ".join(f"{i}, {X.name(a)}, {X.name(b)}" for i, (a, b) in enumerate(pairs))
-    long = base.selectExpr(f"stack({len(pairs)}, {cells}) AS (pair, x, y)").where("x IS NOT NULL AND y IS NOT NULL")
-    measured = long.groupBy("pair").agg(
-        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr")
-    )
-    # one array entry per pair, so that pairs without any common row keep their place
-    by_pair = measured.agg(F.map_from_entries(F.collect_list(F.struct("pair", "corr"))).alias("found"))
-    out = [(a, b, i) for i, (a, b) in enumerate(pairs)] + [(b, a, i) for i, (a, b) in enumerate(pairs) if a != b]
-    rows = ", ".join(f"{X.quoted(a)}, {X.quoted(b)}, found[{i}]" for a, b, i in out)
-    return by_pair.selectExpr(f"stack({len(out)}, {rows}) AS (col_a, col_b, corr)")
+    base = df.select(*[finite(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns)])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    def corr(i: int, j: int) -> Column:
+        x, y = (F.when(F.col(f"_{b}").isNotNull(), F.col(f"_{a}")) for a, b in ((i, j), (j, i)))  # over the rows of the pair
+        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))  # a rounded deviation of a constant need not be zero
+        return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+    found = base.agg(*[corr(i, j).alias(f"c{i}_{j}") for i, j in pairs])
+    out = [(i, j, f"c{i}_{j}") for i, j in pairs] + [(j, i, f"c{i}_{j}") for i, j in pairs if i != j]
+    rows = ", ".join(f"{X.quoted(columns[i])}, {X.quoted(columns[j])}, {c}" for i, j, c in out)
+    return found.selectExpr(f"stack({len(out)}, {rows}) AS (col_a, col_b, corr)")
 
 
 def fold_rows(wide: DataFrame, names: list[str], key: str, value: str, dtype: str = "bigint") -> DataFrame:

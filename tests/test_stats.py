@@ -121,3 +121,18 @@ def test_only_values_of_opened_buckets_are_shuffled(spark, frame):
     assert len(rows) == 7 and sum(r["n"] for r in rows) == 200_000
     want = df.groupBy("k").agg(F.percentile("v", [0.5, 0.99]).alias("q")).collect()
     assert all(np.allclose([r["mid"], r["p99"]], w["q"], rtol=1e-12) for r, w in zip(sorted(rows), sorted(want)))
+
+
+def test_correlations_far_from_zero_and_without_generated_rows(frame):
+    rng = np.random.default_rng(3)
+    x = 1e9 + rng.normal(size=400)
+    y = x * 2 + rng.normal(size=400)
+    rows = [(float(a), float(b) if i % 5 else None, 7.0, float("nan")) for i, (a, b) in enumerate(zip(x, y))]
+    out = stats.correlations(frame("a double, b double, c double, d double", rows), ["a", "b", "c", "d"])
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    lowest = max(i for i, line in enumerate(plan) if "Aggregate" in line)
+    assert not any("Generate" in line or "Expand" in line for line in plan[lowest:])
+    got = {(r[0], r[1]): r[2] for r in out.collect()}
+    keep = [i for i in range(400) if i % 5]
+    assert np.isclose(got["a", "b"], np.corrcoef(x[keep], y[keep])[0, 1], rtol=1e-9) and got["b", "a"] == got["a", "b"]
+    assert got["c", "c"] is None and got["a", "c"] is None and got["d", "d"] is None and got["a", "d"] is None and np.isclose(got["a", "a"], 1)
