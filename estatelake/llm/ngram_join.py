@@ -257,8 +257,8 @@ class _Join:
         return self.keep(state.join(tree, "comp", "left").withColumn("comp", F.coalesce("component", "comp")).select(*state.columns))
 
     def undone(self, shared: DataFrame, state: DataFrame) -> DataFrame:
-        """(token, doc_id, held, n, part, grp, comp) of the tokens whose holders are in several components."""
-        held = self.keep(shared.join(state, "doc_id"))
+        """(token, doc_id, n, part, grp, comp) of the tokens whose holders are in several components."""
+        held = self.keep(shared.select("token", "doc_id").join(state, "doc_id"))
         several = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
         out = self.keep(held.join(several, "token"))
         self.drop(held)
@@ -328,10 +328,9 @@ class _Join:
                 break
             state = self.merged(state, found)
             # a token whose holders are one component is done for good
-            left = self.keep(undone.select("token", "doc_id", "held"))
             self.drop(shared)
+            shared = self.keep(undone.select("token", "doc_id"))
             self.drop(undone)
-            shared = left
         pairs, cells = self.full_pairs(self.undone(shared, state))
         return self.merged(state, self.links(self.keep(pairs), cells)).select("doc_id", "comp")
 
