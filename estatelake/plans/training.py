@@ -1,6 +1,6 @@
 """Training, evaluating and storing price models with MLlib.
 
-The learners are MLlib forests and boosted trees: the same roles, weighting, routing and
+The learners are MLlib forests and boosted MLlib trees (``boosting.py``): the same roles, weighting, routing and
 metrics as described for the engine, but not the numbers of other tree libraries. Which categories are
 one-hot and which are encoded by their mean price is fixed by column. Means of training rows leave out
 the row's own fold, so that a label never feeds its own feature.
@@ -18,7 +18,6 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     GBTRegressionModel,
-    GBTRegressor,
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
@@ -29,6 +28,7 @@ from estatelake.functions.scalars import hash_bucket
 from estatelake.functions.stats import group_stats, stacked
 from estatelake.operators.features import missing_category_token, ml_dataset
 from estatelake.operators.market import segment_sizes
+from estatelake.plans.boosting import Boosted, BoostSettings, boost
 from estatelake.schema import (
     CATEGORICAL_FEATURES,
     LEAKAGE_COLUMNS,
@@ -52,7 +52,7 @@ class TreeSettings:
     """Sizes of the models; the defaults are for production, tests pass small ones.
 
     Fixed values: 200, 300 and 300 trees, leaves of 2 rows, 3,000 rounds of depth 10 at a rate of 0.04, a
-    patience of 150 rounds, 128 bins, 500 final rounds at least. Forests are not to be limited in depth: 30 is MLlib's limit.
+    patience of 150 rounds, an L2 term of 7 on the leaves, 128 bins, 500 final rounds at least. Forests are not to be limited in depth: 30 is MLlib's limit.
     """
 
     market_trees: dict[str, int] = field(default_factory=lambda: {"sale": 200, "rent": 300})
@@ -62,6 +62,7 @@ class TreeSettings:
     boost_rounds: int = 3000
     boost_depth: int = 10
     boost_rate: float = 0.04
+    boost_l2: float = 7.0
     patience: int = 150
     min_final_rounds: int = 500
     bins: int = 128
@@ -206,46 +207,22 @@ def encoded_parts(parts: DataFrame, key: str, purpose: str = "encoded") -> tuple
     return encoder, stored(encoder.transform(parts, F.col("split") == "train").select("split", "label", "features"), purpose)
 
 
-def learner(name: str, settings: TreeSettings, trees: int | None = None, **boost):
-    """An unfitted MLlib regressor on log prices whose output column is ``log_<name>``."""
-    common = {"featuresCol": "features", "labelCol": "label", "predictionCol": f"log_{name}", "seed": SEED,
-              "maxBins": settings.bins, "minInstancesPerNode": settings.min_leaf}
-    if name == "boosted":
-        return GBTRegressor(
-            **common, maxIter=boost.get("rounds", settings.boost_rounds),
-            maxDepth=boost.get("depth", settings.boost_depth), stepSize=boost.get("rate", settings.boost_rate),
-            subsamplingRate=boost.get("subsample", 1.0),
-        )
+def learner(name: str, settings: TreeSettings, trees: int | None = None) -> RandomForestRegressor:
+    """An unfitted forest on log prices whose output column is ``log_<name>``."""
     return RandomForestRegressor(
-        **common, numTrees=trees or settings.family_trees, maxDepth=settings.tree_depth,
+        featuresCol="features", labelCol="label", predictionCol=f"log_{name}", seed=SEED, maxBins=settings.bins,
+        minInstancesPerNode=settings.min_leaf, numTrees=trees or settings.family_trees, maxDepth=settings.tree_depth,
         featureSubsetStrategy="sqrt", bootstrap=(name == "random_forest"),
     )
 
 
-def best_round(errors: list[float], patience: int) -> int:
-    """The round (from 1) with the least error before ``patience`` rounds in a row bring none that is less."""
-    best = 0
-    for i, e in enumerate(errors):
-        if e < errors[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
-def fit_boosted(train: DataFrame, validation: DataFrame, settings: TreeSettings, **boost):
-    """Boosted trees up to the best round on the validation rows; returns (model, that round).
+def fit_boosted(train: DataFrame, validation: DataFrame | None, settings: TreeSettings, path: str | None = None, **config) -> Boosted:
+    """Boosted trees that stop ``settings.patience`` rounds after the best one on the validation rows; all rounds without such rows.
 
-    MLlib's own stopping has no patience and ends at the first round without a gain, so all rounds are fitted,
-    measured round by round, and fitted again up to the best one, which gives the same trees.
+    ``config`` may name rounds, rate, depth and l2; ``path`` keeps the rounds, so that a run that died goes on.
     """
-    model = learner("boosted", settings, **boost).fit(train)
-    if validation.isEmpty():
-        return model, model.getNumTrees
-    best = best_round(model.evaluateEachIteration(validation, "squared"), settings.patience)
-    if best < model.getNumTrees:
-        model = learner("boosted", settings, **{**boost, "rounds": best}).fit(train)
-    return model, best
+    sizes = {"rounds": settings.boost_rounds, "rate": settings.boost_rate, "depth": settings.boost_depth, "l2": settings.boost_l2, **config}
+    return boost(train, validation, BoostSettings(**sizes, patience=settings.patience, bins=settings.bins, min_leaf=settings.min_leaf, seed=SEED), "log_boosted", path)
 
 
 # --- metrics --------------------------------------------------------------------------------
@@ -343,7 +320,7 @@ def train_model_family(
     models: dict[str, object] = {}
     for name in names:
         if name == "boosted":
-            models[name], _ = fit_boosted(train, validation, settings)
+            models[name] = fit_boosted(train, validation, settings).model
         else:
             models[name] = learner(name, settings).fit(train)
 
@@ -361,7 +338,7 @@ def train_model_family(
         encoder = fit_encoder(rows, key)
         everything = stored(encoder.transform(rows, F.lit(True)).select("label", "features"), "encoded-all")
         for name in names:
-            models[name] = learner(name, settings).fit(everything)
+            models[name] = fit_boosted(everything, None, settings).model if name == "boosted" else learner(name, settings).fit(everything)
     test_r2 = r2_of(tested)
     metadata = model_metadata(
         market, segment, rows.count(), {n: {k: v for k, v in weighed[n].items() if k != "model"} for n in names},
@@ -431,12 +408,11 @@ def train_market_models(rows: DataFrame, settings: TreeSettings, key: str = "lis
     return out
 
 
-# The three boosted settings that are compared. Rounds, rates and depths are fixed values; the resampling of the third
-# is ours: it stands for the stronger L2 term of the leaves that MLlib's trees do not have.
+# The three boosted settings that are compared: fixed values.
 BOOST_CONFIGS = {
-    "boosted_balanced": {"rounds": 3500, "rate": 0.035, "depth": 8, "subsample": 1.0},
-    "boosted_deeper": {"rounds": 3000, "rate": 0.04, "depth": 10, "subsample": 1.0},
-    "boosted_regularized": {"rounds": 3500, "rate": 0.03, "depth": 8, "subsample": 0.8},
+    "boosted_balanced": {"rounds": 3500, "rate": 0.035, "depth": 8, "l2": 5.0},
+    "boosted_deeper": {"rounds": 3000, "rate": 0.04, "depth": 10, "l2": 7.0},
+    "boosted_regularized": {"rounds": 3500, "rate": 0.03, "depth": 8, "l2": 10.0},
 }
 
 
@@ -454,7 +430,7 @@ def tune_boosted(rows: DataFrame, settings: TreeSettings, market: str, configs:
     train, validation, test = (encoded.where(F.col("split") == s) for s in ("train", "validation", "test"))
     results, fitted = [], {}
     for name, config in configs.items():
-        model, kept = fit_boosted(train, validation, settings, **config)
+        model, kept, _, _ = fit_boosted(train, validation, settings, **config)
         fitted[name] = (model, kept)
         scored = long_predictions(model.transform(validation), {name: "log_boosted"})
         row = regression_metrics(scored, "label", "predicted", ["model"]).first().asDict()
@@ -466,7 +442,7 @@ def tune_boosted(rows: DataFrame, settings: TreeSettings, market: str, configs:
     ).first()
     final_encoder = fit_encoder(rows, key)
     everything = stored(final_encoder.transform(rows, F.lit(True)).select("label", "features"), "encoded-all")
-    final = learner("boosted", settings, **{**configs[winner], "rounds": max(kept + 1, settings.min_final_rounds)}).fit(everything)
+    final = fit_boosted(everything, None, settings, **{**configs[winner], "rounds": max(kept + 1, settings.min_final_rounds)}).model
     metadata = model_metadata(market, None, rows.count(), {r["model"]: r for r in results}, tested.asDict() if tested else {},
                               time.time() - started, settings)
     family = ModelFamily(market, None, final_encoder, {"boosted": final}, {"boosted": 1.0}, r2_of(tested), metadata)
@@ -493,7 +469,7 @@ def benchmark_models(rows: DataFrame, settings: TreeSettings, key: str = "listin
         for name in names:
             started = time.time()
             if name == "boosted":
-                model, _ = fit_boosted(fit_rows, held, settings)
+                model = fit_boosted(fit_rows, held, settings).model
             else:
                 model = learner(name, settings).fit(fit_rows.unionByName(held))
             seconds[name] = round(time.time() - started, 3)

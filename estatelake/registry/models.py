@@ -203,10 +203,12 @@ def _boosted(spark, d):
         rows = T.split_rows(rows_of(spark, d, True).where(F.col("offering_type") == offering), "listing_id", 70, 15)
         _, encoded = T.encoded_parts(rows, "listing_id")
         train, held, test = (encoded.where(F.col("split") == s).select("label", "features") for s in ("train", "validation", "test"))
-        model, best = T.fit_boosted(train, held, SMALL)
+        model, best, fitted, errors = T.fit_boosted(train, held, SMALL)
         scored = T.long_predictions(model.transform(test), {"boosted": "log_boosted"})
         row = T.regression_metrics(scored, "label", "predicted", ["model"])
-        out.append(measured(row, "model").select(F.lit(market).alias("market"), "*", F.lit(model.getNumTrees == best <= SMALL.boost_rounds).alias("within_patience")))
+        # the start value and the trees up to the best round, and no round after the patience has run out
+        stops = model.getNumTrees == best + 1 and len(errors) == fitted == min(best + SMALL.patience, SMALL.boost_rounds)
+        out.append(measured(row, "model").select(F.lit(market).alias("market"), "*", F.lit(stops).alias("within_patience")))
     return reduce(DataFrame.unionByName, out)
 
 

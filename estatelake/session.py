@@ -66,6 +66,11 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 @contextmanager
 def scratch(spark: SparkSession, purpose: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """``keep(df, name)`` stores like ``stored``; all of it is removed when the block ends.
