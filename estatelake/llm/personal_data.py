@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,8 @@ from estatelake.llm.textkit import LOWER, U, pieces, utf8, words
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_END = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
-IP = re.compile(r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
+# a match from within a run of digits exists only where one from its first digit does, so only first digits are tried
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -369,14 +372,22 @@ def _spans(field: Field, column: pa.Array) -> list[tuple[list, list]]:
             data = raw[offsets[r]: offsets[r + 1]].tobytes()
             base = base_spans(data.decode("utf-8", "replace"))
             every = list(base)
-            for s, kind, e in proposals.get(r, ()):
+            mine = proposals.get(r, ())
+            if mine:
+                # code points before each byte, and the furthest end of the base spans up to each one, by start
+                points = np.concatenate(([0], np.cumsum((raw[offsets[r]: offsets[r + 1]] & 0xC0) != 0x80)))
+                base_starts, reach = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))
+            free = 0
+            for s, kind, e in mine:
                 value = data[s - offsets[r]: e - offsets[r]].decode("utf-8", "replace")
                 lead = len(value) - len(value.lstrip("\"'<[{," if kind == 3 else "\"'<[{(,"))
                 cut = value[lead:].rstrip(".,;:!?\"'>]}" + ("" if kind == 3 and "(" in value or kind == 0 and "(" in value else ")"))
-                start = len(data[: s - offsets[r]].decode("utf-8", "replace")) + lead
+                start = int(points[s - offsets[r]]) + lead
                 end = start + len(cut)
-                if _fits(kind, cut) and all(end <= x or y <= start for x, _, y in every):
+                before = bisect_left(base_starts, end)
+                if _fits(kind, cut) and free <= start and not (before and reach[before - 1] > start):
                     every.append((start, kind, end))
+                    free = end
             out.append((base, sorted(every)))
     return out
 

@@ -44,6 +44,25 @@ def test_base_on_long_runs():
     assert personal_data.base_spans(text)[:1] == [(400_002, 1, 400_009)]
 
 
+def test_many_spans_in_one_text(field):
+    """Added spans clash with none, offsets count code points, and a text of 10^5 numbers takes seconds."""
+    import time
+
+    one = "é call +1 (265) 555-5428 or write jane (at) host (dot) com today x.1@mail.example.com 29.112.136.108 "
+    (base, every), = personal_data._spans(field, pa.array([one]))
+    assert len(every) > len(base)
+    (bases, all_spans), = personal_data._spans(field, pa.array([one * 200]))
+    move = lambda spans: [(a + i * len(one), k, b + i * len(one)) for i in range(200) for a, k, b in spans]
+    assert bases == move(base)
+    for a, k, b in set(all_spans) - set(bases):
+        assert all(b <= x or y <= a for x, _, y in all_spans if (x, y) != (a, b))
+    added = {(one * 200)[a:b] for a, _, b in set(all_spans) - set(bases)}
+    assert added == {one[a:b] for a, _, b in set(every) - set(base)} == {"jane (at) host (dot) com"}
+    started = time.time()
+    (bases, _), = personal_data._spans(field, pa.array(["é +1 (265) 555-5428 " * 100_000]))
+    assert len(bases) == 100_000 and time.time() - started < 60
+
+
 def test_held_out_spans(field):
     rows = personal_data.made_rows(300, seed=99)
     good = found = wanted = 0
