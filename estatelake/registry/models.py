@@ -216,8 +216,8 @@ def _boosted(spark, d):
     f"SELECT '{m}' AS market, '{n}' AS config, count(*) AS rows, true AS good, true AS one_best FROM ({_PRICED}) WHERE listing_type = '{m}' AND b BETWEEN 70 AND 84"
     for m in OFFERING_BY_MARKET for n in T.BOOST_CONFIGS))
 def _tune(spark, d):
-    """The three settings with their own depths and rates; rounds alone are few."""
-    configs = {n: {**c, "rounds": TUNING_ROUNDS} for n, c in T.BOOST_CONFIGS.items()}
+    """The three settings with their own depths and rates; rounds are few, so they start from a whole tree: two at a rate of 0.04 explain little."""
+    configs = {n: {**c, "rounds": TUNING_ROUNDS, "start_depth": c["depth"]} for n, c in T.BOOST_CONFIGS.items()}
     settings = T.TreeSettings(**{**SMALL.__dict__, "min_final_rounds": TUNING_ROUNDS})
     out = []
     for market, offering in OFFERING_BY_MARKET.items():
