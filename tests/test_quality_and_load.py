@@ -202,3 +202,15 @@ def test_csv_stream_by_name_with_a_bad_file(spark, tmp_path):
     write_csv(drop / "c.csv", ["listing_id", "price_egp"], ["4", "1"])
     run().awaitTermination()
     assert spark.read.parquet(target).count() == 3 and scratch_before <= set(tmp_path.iterdir())
+
+
+def test_conform_types_parses_each_number_once(frame):
+    from estatelake.operators.clean import clean_rows
+
+    raw = frame("listing_id string, bedrooms string, agent_id string", [("1", "2+ beds", "7"), ("2", "baths: 3.5", "8"), (None, None, None)])
+    good, bad = L.conform_types(clean_rows(raw))
+    assert [tuple(r) for r in good.orderBy("listing_id").collect()] == [(None, None, None), (1, 2, 7)]
+    assert [r["listing_id"] for r in bad.collect()] == ["2"] and bad.columns == raw.columns
+    for part in (good, bad):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE") <= 8, "the condition repeats the cleaning"
