@@ -143,3 +143,25 @@ def test_train_store_load_and_value(spark, frame, tmp_path):
     assert got[3]["market_value"] == "Residential for Rent" and got[1]["confidence"]["reference_r2"] == 0.65
     assert all(r["estimated_value_egp"] >= 0 and len(r["model_predictions"]) == 3 for r in got.values())
     assert {r["request_id"]: r["rejection_reason"] for r in rejected.collect()} == {4: "area_value cannot be negative", 5: V.NON_FINITE}
+
+
+def test_encoders_read_stored_rows(spark, monkeypatch):
+    from estatelake.registry.features import MODEL_SOURCE
+
+    seen = []
+    fit = T.fit_encoder
+    monkeypatch.setattr(T, "fit_encoder", lambda rows, *a, **k: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()) or fit(rows, *a, **k))
+    rows = T.model_rows(listings(spark, SMALL_DIR, *MODEL_SOURCE), as_of())
+    T.train_model_family(rows.where(F.col("offering_type") == "Residential for Sale"), "sale", None, TINY, names=("random_forest",))
+    T.train_market_models(rows, TINY)
+    assert len(seen) == 4 and not any("Join" in plan for plan in seen), "features are derived again for every pass"
+
+
+def test_request_checks_do_not_repeat_features(frame):
+    accepted, rejected = V.check_requests(requests(frame, {}, {"area_value": -1.0}, {"bedrooms": 0.0}), as_of())
+    assert [r["request_id"] for r in accepted.collect()] == [0] and accepted.columns.count("rejection_reason") == 1
+    assert {r["request_id"]: r["rejection_reason"] for r in rejected.collect()} == {1: "area_value cannot be negative", 2: V.NON_FINITE}
+    for part in (accepted, rejected):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        conditions = [line for line in plan.splitlines() if "Filter" in line]
+        assert conditions and all(len(line) < 200 for line in conditions), "the condition repeats the features"
