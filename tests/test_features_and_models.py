@@ -164,4 +164,4 @@ def test_request_checks_do_not_repeat_features(frame):
     for part in (accepted, rejected):
         plan = part._jdf.queryExecution().optimizedPlan().toString()
         conditions = [line for line in plan.splitlines() if "Filter" in line]
-        assert conditions and all(len(line) < 200 for line in conditions), "the condition repeats the features"
+        assert conditions and all("null(rejection_reason#" in line for line in conditions), "the condition repeats the features"
