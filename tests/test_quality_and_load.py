@@ -214,3 +214,18 @@ def test_conform_types_parses_each_number_once(frame):
     for part in (good, bad):
         plan = part._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("RLIKE") <= 8, "the condition repeats the cleaning"
+
+
+def _watched(df):
+    """The frame behind a filter that counts the rows it is asked for."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+    watch = F.udf(lambda x: (seen.add(1), True)[1], "boolean").asNondeterministic()
+    return df.where(watch("listing_id")), seen
+
+
+def test_a_load_computes_its_rows_once(frame, tmp_path):
+    rows = frame("listing_id bigint, price_egp double", [(1, 1.0), (2, 2.0), (3, 3.0)])
+    for existing in (0, 3):
+        df, seen = _watched(rows)
+        assert L.load_new_listings(df, str(tmp_path / "t"), at())["existing_rows"] == existing
+        assert seen.value == 3
