@@ -229,3 +229,11 @@ def test_a_load_computes_its_rows_once(frame, tmp_path):
         df, seen = _watched(rows)
         assert L.load_new_listings(df, str(tmp_path / "t"), at())["existing_rows"] == existing
         assert seen.value == 3
+
+
+def test_a_report_reads_the_processed_rows_once(frame):
+    raw = frame("listing_id bigint, city string", [(1, "a"), (1, "a"), (2, None)])
+    processed, seen = _watched(raw)
+    report = Q.quality_report(raw, processed).first()
+    assert (report["processed_dataset"]["rows"], report["processed_dataset"]["columns"], report["processed_duplicates"]["duplicate_rows"]) == (3, 2, 1)
+    assert seen.value == 3
