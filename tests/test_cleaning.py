@@ -85,3 +85,37 @@ def test_bins_are_closed_on_the_right(frame):
     df = frame("n int, x double", [(1, 60.0), (2, 60.1), (3, 100.0), (4, 101.0), (5, None), (6, -5.0)])
     got = values(df.orderBy("n").select(F.expr(X.label_up_to("x", edges, labels)).alias("b")), "b")
     assert got == ["small", "medium", "medium", "large", None, "small"]
+
+
+def test_cleaning_strips_each_text_once_in_few_projections(spark):
+    from estatelake.schema import RAW_COLUMNS
+
+    raw = spark.range(2).select(*[F.concat(F.lit(f" {i}\t"), F.col("id").cast("string")).alias(c) for i, c in enumerate(RAW_COLUMNS)])
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        plan = C.clean_rows(raw)._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    copies = [line for line in plan.splitlines() if "Project [" in line]
+    assert len(copies) <= 8  # the two of the input and of its names, and one for each level of steps
+    assert plan.count("btrim(") == len(RAW_COLUMNS)
+
+
+def test_strip_of_a_cell_is_the_strip_of_a_text(spark):
+    texts = ["", "a", " a", "a ", "　a", "a ", "é", "é ", "\x85é", "a\x1c", "~", "\x7f", "日", " \t\n", "a   b", None]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = df.selectExpr(X.strip_cell("x"), X.strip("x"), X.plain_spaces_cell("x"), f"translate(x, {X.quoted(X.WHITE_SPACE)}, '{' ' * len(X.WHITE_SPACE)}')").collect()
+    assert all(r[0] == r[1] and r[2] == r[3] for r in got)
+    assert [r[0] for r in got] == [t if t is None else t.strip(X.WHITE_SPACE) for t in texts]
+
+
+def test_queries_keep_generated_methods_within_what_is_compiled(spark):
+    from estatelake.registry import QUERIES
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    assert "listing_count" in QUERIES
+    try:
+        QUERIES["listing_count"](spark, "/nowhere")
+    except Exception:  # noqa: BLE001  (no tables are there)
+        pass
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
