@@ -69,10 +69,14 @@ def analysis_rows(results: dict[str, DataFrame]) -> DataFrame:
 
 
 def bundle_rows(bundle: DataFrame) -> DataFrame:
-    """(section, item, measure, value, label): the contents of the records; the item joins a record's key fields."""
-    fields = F.from_json("record_json", "map<string,string>")
+    """(section, item, measure, value, label): the contents of the records; the item joins a record's key fields.
+
+    Each record is parsed once, and its item is made before its fields become rows. A plain ``explode`` would have Spark add a filter that
+    parses every record again to see that it has fields; the row that the outer one makes of a record without fields goes by its missing text.
+    """
+    parsed = bundle.select("section", F.from_json("record_json", "map<string,string>").alias("fields"))
     item = F.concat_ws("|", *[F.col("fields")[k] for k in OVERVIEW_KEYS])
-    cells = bundle.withColumn("fields", fields).select("section", item.alias("item"), F.explode("fields").alias("measure", "text"))
+    cells = parsed.withColumn("item", item).select("section", "item", F.explode_outer("fields").alias("measure", "text"))
     number = F.col("text").try_cast("double")
     return cells.where(~F.col("measure").isin(OVERVIEW_KEYS) & F.col("text").isNotNull()).select(
         "section", "item", "measure", number.alias("value"), F.when(number.isNull(), F.col("text")).alias("label"))

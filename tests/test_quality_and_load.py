@@ -237,3 +237,14 @@ def test_a_report_reads_the_processed_rows_once(frame):
     report = Q.quality_report(raw, processed).first()
     assert (report["processed_dataset"]["rows"], report["processed_dataset"]["columns"], report["processed_duplicates"]["duplicate_rows"]) == (3, 2, 1)
     assert seen.value == 3
+
+
+def test_bundle_records_are_parsed_once(frame):
+    """Also records without fields, null fields and broken ones give no rows."""
+    from estatelake.plans.bundles import bundle_rows
+
+    records = frame("section string, record_json string", [
+        ("a", '{"city": "C", "town": null, "price": 1.5, "signal": "fair", "gone": null}'), ("a", "{}"), ("a", None), ("a", "x"), ("a", '{"price": null}'), ("a", '{"listing_id": 7}')])
+    got = bundle_rows(records)
+    assert sorted(map(tuple, got.collect())) == [("a", "C", "price", 1.5, None), ("a", "C", "signal", None, "fair")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
