@@ -167,14 +167,14 @@ def test_request_checks_do_not_repeat_features(frame):
         assert conditions and all("null(rejection_reason#" in line for line in conditions), "the condition repeats the features"
 
 
-def test_encoder_scans_training_rows_twice(spark, frame, monkeypatch):
+def test_encoder_folds_training_rows_twice(spark, frame, monkeypatch):
     """Medians and categories: every other figure comes from the table of categories, with the same values."""
     cells = [*[f"cast(id % 7 as double) as {c}" for c in T.NUMERIC_FEATURES], *[f"if(id % 3 = 0, null, concat('v', id % 4)) as {c}" for c in T.CATEGORICAL_FEATURES]]
     train = spark.range(200).selectExpr("id as listing_id", "cast(id as double) as label", *cells)
     asked, real = [], T.stacked
     monkeypatch.setattr(T, "stacked", lambda df, columns, *a, **k: asked.append(columns) or real(df, columns, *a, **k))
     encoder = T.fit_encoder(train)
-    assert asked == [T.NUMERIC_FEATURES, T.CATEGORICAL_FEATURES]
+    assert asked == [T.CATEGORICAL_FEATURES, T.NUMERIC_FEATURES]
     assert set(encoder.numbers.values()) == {3.0} and set(encoder.modes.values()) == {"v1"}
     assert all(v == ["v1", "v0", "v2", "v3"] for v in encoder.labels.values()) and encoder.target_means == T.TARGET_MEAN_FEATURES
     assert sum(n for _, n in encoder.totals) == 200 and sum(s for s, _ in encoder.totals) == 199 * 100
