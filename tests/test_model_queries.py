@@ -23,6 +23,21 @@ def test_market_forests_have_production_sizes(spark, made, monkeypatch):
     assert seen == [T.TreeSettings()] and seen[0].market_trees == {"sale": 200, "rent": 300} and seen[0].tree_depth == 30
 
 
+def test_boosting_has_production_sizes(spark, made, monkeypatch):
+    seen = []
+
+    def fit(train, held, settings, **config):
+        seen.append((settings, config))
+        raise Seen
+
+    encoded = spark.createDataFrame([("train", 1.0, 1.0)], "split string, label double, features double")
+    monkeypatch.setattr(T, "stored_parts", lambda rows, *a: rows)
+    monkeypatch.setattr(T, "encoded_parts", lambda rows, key: (None, encoded))
+    monkeypatch.setattr(T, "fit_boosted", fit)
+    with pytest.raises(Seen):
+        M._boosted(spark, "")
+    assert seen and all(s == (T.TreeSettings(), {}) for s in seen) and seen[0][0].boost_rounds == 3000
+
 
 
 def test_fits_side_by_side_keep_their_order(spark):
