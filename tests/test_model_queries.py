@@ -39,6 +39,18 @@ def test_boosting_has_production_sizes(spark, made, monkeypatch):
     assert seen and all(s == (T.TreeSettings(), {}) for s in seen) and seen[0][0].boost_rounds == 3000
 
 
+def test_tuning_compares_the_settings_as_they_are(spark, made, monkeypatch):
+    seen = []
+
+    def tune(rows, settings, market, configs=T.BOOST_CONFIGS):
+        seen.append((settings, configs))
+        raise Seen
+
+    monkeypatch.setattr(T, "tune_boosted", tune)
+    with pytest.raises(Seen):
+        M._tune(spark, "")
+    assert seen and all(s == (T.TreeSettings(), T.BOOST_CONFIGS) for s in seen)
+
 
 def test_fits_side_by_side_keep_their_order(spark):
     assert T.side_by_side(spark, lambda n: spark.range(n).count(), [5, 0, 3]) == [5, 0, 3]
